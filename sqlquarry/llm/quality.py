@@ -8,6 +8,7 @@ hashed words, word beginnings and style marks learns the posteriors of a bounded
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +16,6 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ REJECT, KEEP, ABSTAIN = 1, 0, 2
 LABELLERS = ("symbols", "shouting", "fragments", "repetition", "lexicon", "label")
 #: A lexicon entry is in this share of toxic sample rows at least, and its rows are toxic in this share at least.
 LEXICON_SHARE, LEXICON_PRECISION = 0.03, 0.97
-_WORDS = regex.compile(r"\p{L}+")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def style_votes(text: str) -> tuple[int, int, int, int]:
@@ -165,11 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def signs(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([_sign(t) for t in batch.column("_text").to_pylist()], pa.int64())], names=["_id", "sign"])
 
-    # one labelled row of each sign, in the order of a hash: a sample without near copies
-    known = base.join(marks, "_id", "left_semi")
-    one = known.mapInArrow(map_slices(signs, "_text"), "_id string, sign long").groupBy("sign").agg(F.min("_id").alias("_id"))
-    chosen = written(one.orderBy(F.xxhash64("sign"), "sign").limit(sample_rows).select("_id").join(marks, "_id"))
-    sample = written(base.join(F.broadcast(chosen), "_id"))
+    # labelled rows in the order of a hash, then one of each sign: a bounded sample without near copies
+    first = written(marks.where(F.col("q").isNotNull() | F.col("x").isNotNull()).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
+    drawn = written(base.join(F.broadcast(first), "_id"))
+    one = drawn.select("_id", "_text").mapInArrow(map_slices(signs, "_text"), "_id string, sign long").groupBy("sign").agg(F.min("_id").alias("_id"))
+    sample = drawn.join(F.broadcast(written(one.select("_id"))), "_id").dropDuplicates(["_id"])
 
     def toxic_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, toxic = Counter(), Counter()
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = [np.asarray(f, np.int64) for f in got["f"]]
     target = np.array([of.get(int(c), prior) for c in got["code"]])
     weights = fit_scorer(rows, target, np.abs(2 * target - 1))  # unsure rows teach little
-    removed(spark, sample)
+    removed(spark, drawn)
     accuracies = {n: float(theta[j, 1, REJECT] * prior + theta[j, 0, KEEP] * (1 - prior)) for j, n in enumerate(LABELLERS)} if len(codes) else {}
     return Model(lexicon, weights, accuracies)
 
