@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, removed, table, written
 
-#: Bound on the labelled rows that the lexicon and the scorer are fitted on, and on the words of each that they look at.
-SAMPLE_ROWS, SAMPLE_WORDS = 8000, 4000
+#: Bound on the labelled rows that the lexicon and the scorer are fitted on, each with its whole text.
+SAMPLE_ROWS = 8000
 DIMS = 1 << 18
 REJECT, KEEP, ABSTAIN = 1, 0, 2
 LABELLERS = ("symbols", "shouting", "fragments", "repetition", "lexicon", "label")
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         every, toxic = Counter(), Counter()
         for batch in batches:
             for t, x in zip(batch.column("_text").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                own = tokens(" ".join(t.split()[:SAMPLE_WORDS]))
+                own = tokens(t)
                 every.update(own)
                 if x == 1:
                     toxic.update(own)
@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
         feats, codes = [], []
         for t, lv in zip(batch.column("_text").to_pylist(), batch.column("vote").to_pylist(), strict=True):
-            own = tokens(" ".join(t.split()[:SAMPLE_WORDS]))
+            own = tokens(t)
             v = (*style_votes(t), lexicon_vote(tokens(t), lexicon))
             feats.append(hashed(own, v).astype(np.int32).tolist())
             codes.append(sum(x * 3**j for j, x in enumerate((*v, lv))))
