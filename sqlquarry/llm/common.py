@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one Python call handles at a time; Arrow batches are re-cut to this.
 SLICE_BYTES = 32 << 20
+#: A key of more rows than this, and than the HOT_KEYS-th part of all rows, is hot: there are fewer than HOT_KEYS such keys.
+HOT_ROWS, HOT_KEYS = 512, 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,3 +85,15 @@ def text_column(df: DataFrame, name: str = "text"):
 def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (of a few numbers each), else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def spread_join(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with classes (one row for each key) on key, without the column n of classes: the key's rows, of total in all.
+
+    Hot keys are broadcast, so their rows stay where they are and never meet in one task; the others are shuffled. Both
+    sides are read twice, so they should be written tables or cheap.
+    """
+    many = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = F.broadcast(classes.where(many).drop(n)), classes.where(~many).drop(n)
+    rest = rows.join(F.broadcast(classes.where(many).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key))

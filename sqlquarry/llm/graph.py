@@ -5,32 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, written
+from .common import removed, spread_join, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b) of one type -> (node, component): the smallest node reachable, for every node with an edge.
 
     Alternates large-star and small-star steps until nothing changes; each round's edges are written to the shared folder.
-    Every step groups by a node but keeps only (node, smallest neighbour) per group, joined back to the edges, so a hub's
-    neighbours never meet in one task. Loops and repeated or reversed edges are fine; no edges give no rows.
+    Every step groups by a node but keeps only (node, smallest neighbour) per group, joined back to the edges; that of a hub
+    is broadcast, so its neighbours never meet in one task. Loops and repeated or reversed edges are fine; no edges give no rows.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before, n_edges = None, now.count()
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        low = written(low.select("u", F.least("u", "m").alias("m"), "n"))
+        large = written(spread_join(both.where("v > u"), low, "u", "n", 2 * n_edges).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        small_low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, small_low, "u", "n", n_edges).select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
         new = written(small.unionByName(small_low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         sums = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit((1 << 32) - 1)))).first()
-        removed(edges.sparkSession, now)
+        removed(edges.sparkSession, now, low, large, small_low)
         now = new
         if tuple(sums) == before:
             break
-        before = tuple(sums)
+        before, n_edges = tuple(sums), sums[0]
     else:
         raise RuntimeError(f"no components after {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import slices, spread_join, table, written
 from .graph import components
 
 BITS, SEGMENTS, DISTANCE, SHINGLE = 64, 5, 4, 4
@@ -192,10 +192,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = written(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")), "text", shingle))
     fps = written(marks.groupBy("fp").agg(F.min("_id").alias("low"), F.count("*").alias("n")))
     links = components(near_edges(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
-    grouped = fps.join(links, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    low = grouped.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("n_members"))
-    classes = written(grouped.select("fp", "component").join(low, "component").select("fp", "component_id", "n_members"))
-    out = marks.join(classes, "fp")
+    grouped = written(fps.join(links, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    low = written(grouped.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("n_members"), F.count("*").alias("k")))
+    classes = written(spread_join(grouped.select("fp", "component", "n"), low, "component", "k", grouped.count()).select("fp", "component_id", "n_members", "n"))
+    out = spread_join(marks, classes, "fp", "n", marks.count())
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_members")
 
 
