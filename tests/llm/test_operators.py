@@ -136,6 +136,28 @@ def test_media(spark):
     assert {r["media_id"]: (r["n_links"], r["first_link"]) for r in small.collect()} == got
 
 
+def test_media_edited_copies(spark):
+    rng = np.random.default_rng(15)
+    images = [np.kron(rng.integers(0, 256, (14, 14)), np.ones((9, 9))) for _ in range(12)]
+    edits = {
+        1: lambda a: media._resized(media._resized(a, 0.8), 1.25),
+        2: lambda a: media._box(media._box(a, 1), 1),
+        3: lambda a: a + rng.normal(0, 5, a.shape),
+        4: lambda a: np.roll(a, (1, 1), (0, 1)),
+    }
+    rows = [(50 * i, pgm(a)) for i, a in enumerate(images)] + [(50 * i + k, pgm(f(a))) for k, f in edits.items() for i, a in enumerate(images)]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "media_id long, image binary")
+    got = {r["media_id"]: (r["first_link"], r["inliers"]) for r in media.copies(df, F.col("media_id") % 50 == 0).collect()}
+    for k in edits:
+        assert all(got[50 * i + k][0] == 50 * i for i in range(12)), k
+        pairs = [(media.features(images[i]), media.features(media.decode_image(dict(rows)[50 * i + k]))) for i in range(3)]
+        for a, b in pairs:  # every pair within 15 bits is found
+            d = np.bitwise_count(a.bits[:, None] ^ b.bits[None]).sum(axis=2)
+            i, j = media.HammingTables([1], [b]).matches(a)
+            assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(d <= 15))))
+            assert (d.min(axis=1) <= 15).mean() > 0.5, k
+
+
 def test_chat(spark):
     from itertools import product
 
