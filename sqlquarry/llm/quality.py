@@ -143,11 +143,10 @@ class Model:
 
 
 def _sign(text: str) -> int:
-    """Equal for most near copies: the smallest hash of a word."""
+    """Equal for texts that are equal but for case and white space."""
     from xxhash import xxh64_intdigest
 
-    words = set(text.split())
-    return min(map(xxh64_intdigest, words)) >> 1 if words else 0
+    return xxh64_intdigest(" ".join(text.lower().split()).encode("utf-8", "replace")) >> 1
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -163,12 +162,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = marks.groupBy("_id").agg(F.min("q").alias("q"), F.max("x").alias("x"))
 
     def signs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([_sign(t) for t in batch.column("_text").to_pylist()], pa.int64())], names=["_id", "sign"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([_sign(t) for t in batch.column("_text").to_pylist()], pa.int64())], names=["_id", "q", "x", "sign"])
 
-    # labelled rows in the order of a hash, then one of each sign: a bounded sample without near copies
+    # labelled rows in the order of a hash, then one of equal texts with equal labels: a bounded sample
     first = written(marks.where(F.col("q").isNotNull() | F.col("x").isNotNull()).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
     drawn = written(base.join(F.broadcast(first), "_id"))
-    one = drawn.select("_id", "_text").mapInArrow(map_slices(signs, "_text"), "_id string, sign long").groupBy("sign").agg(F.min("_id").alias("_id"))
+    one = drawn.select("_id", "q", "x", "_text").mapInArrow(map_slices(signs, "_text"), "_id string, q int, x int, sign long").groupBy("sign", "q", "x").agg(F.min("_id").alias("_id"))
     sample = drawn.join(F.broadcast(written(one.select("_id"))), "_id").dropDuplicates(["_id"])
 
     def toxic_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

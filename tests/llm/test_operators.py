@@ -284,6 +284,19 @@ def test_quality(spark):
     assert post[0] > 0.9 > 0.1 > post[1]
 
 
+def test_quality_sample_keeps_texts_that_share_a_word(spark):
+    from xxhash import xxh64_intdigest
+
+    low = min(("w%d" % i for i in range(5000)), key=xxh64_intdigest)  # the lowest hash of every text below
+    rows = [(i, f"{low} common words of text {'vilething' if i % 4 == 0 else 'fine'} number{i}") for i in range(200)]
+    df = spark.createDataFrame([*rows, (200, rows[0][1])], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(201)], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, lab)
+    assert "vilething" in model.lexicon and low not in model.lexicon
+    got = {r["doc_id"]: r["rejected"] for r in quality.scored(df, model).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in got)
+
+
 def brute_hits(text, windows):
     w = decontaminate.words_of(text)
     hit, items = set(), set()
