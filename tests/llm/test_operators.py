@@ -347,3 +347,27 @@ def test_pipeline(spark, tmp_path):
     assert {100, 101} & set(left) == set() and "abcdefgh1234" not in left[102] and len(left) == 22
     out = p.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == set(left) and all(r["lossless"] for r in out)
+
+
+def test_near_dedup_of_edited_copies(spark, tmp_path):
+    p = pytest.importorskip("corpus_pipeline")
+    from sqlquarry.llm import near_copies
+
+    random.seed(11)
+    texts = [" ".join("w%d" % random.randrange(3000) for _ in range(248)) for _ in range(60)]
+    edited = []
+    for k, t in enumerate(texts):
+        w = t.split()
+        for at in random.sample(range(10, 240), k % 8):
+            w[at] = "edit%d" % random.randrange(99)
+        edited.append(" ".join(w))
+    every = texts + edited
+    sets = [set(near_copies.shingles(t).tolist()) for t in every]
+    near = [k for k in range(60) if len(sets[k] & sets[60 + k]) >= 0.8 * len(sets[k] | sets[60 + k])]
+    far = sorted({*range(60)} - {*near})
+    assert len(near) >= 30 and far
+    left = {r["doc_id"] for r in p.near_dedup_stage(spark, docs(spark, every), "").collect()}
+    assert {*range(60)} <= left and not left & {60 + k for k in near} and {60 + k for k in far} <= left
+    groups = near_copies.similar_groups(docs(spark, every), "doc_id").collect()
+    assert {r["doc_id"]: r["component"] for r in groups} == {i: i - 60 if i - 60 in near else i for i in range(120)}
+    assert near_copies.similar_groups(docs(spark, []), "doc_id").count() == 0
