@@ -16,7 +16,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; one of rows that repeat an id; null ids only beside no other.
+    """Keeps of each group the row with the smallest id (null ids last; of equal ids one); drops its other rows and no more.
 
     A group is what pairs connect whose five-word shingles have a Jaccard similarity of 0.8 at least. Candidates are SimHash
     links over five-word shingles and pairs that share a banded MinHash key, as 4 of 64 bits alone miss most edited copies.
@@ -25,17 +25,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     linked = simhash.near_duplicates(rows.select("_row", "text"), "_row", shingle=near_copies.SHINGLE).select(F.col("_row").alias("a"), F.col("component_id").alias("b"))
     groups = near_copies.similar_groups(rows, "_row", candidates=linked)
     named = written(rows.select("_row", "doc_id").join(groups, "_row"))
-    low = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("low"))
-    marks = written(named.join(low, "component", "left").select("doc_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id")))
-    others = marks.where((F.col("doc_id") != F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull()))
-    nulls_go = others.where("doc_id IS NULL").limit(1).count() > 0
-    gone = written(others.where("doc_id IS NOT NULL").select("doc_id").distinct())
-    kept = docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
-    if nulls_go:
-        kept = kept.where("doc_id IS NOT NULL")
-    if marks.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row")
+    gone = written(named.join(kept, "_row", "left_anti").select("_row"))
+    return rows.join(sized(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -371,3 +371,14 @@ def test_near_dedup_of_edited_copies(spark, tmp_path):
     groups = near_copies.similar_groups(docs(spark, every), "doc_id").collect()
     assert {r["doc_id"]: r["component"] for r in groups} == {i: i - 60 if i - 60 in near else i for i in range(120)}
     assert near_copies.similar_groups(docs(spark, []), "doc_id").count() == 0
+
+
+def test_near_dedup_drops_only_copies(spark):
+    p = pytest.importorskip("corpus_pipeline")
+
+    say = lambda k: " ".join("x%d" % (k * 100 + i) for i in range(30))
+    rows = [(1, say(1)), (None, say(1)), (None, say(2)), (None, say(3)), (None, say(3)), (4, say(4)), (4, say(5)), (6, say(6)), (6, say(6)), (7, say(4)), (7, say(7)), (8, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    left = sorted(((r["doc_id"], r["text"]) for r in p.near_dedup_stage(spark, df, "").collect()), key=str)
+    want = [(1, say(1)), (None, say(2)), (None, say(3)), (4, say(4)), (4, say(5)), (6, say(6)), (7, say(7)), (8, None)]
+    assert left == sorted(want, key=str)
