@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python call handles at a time; Arrow batches are re-cut to this.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 4 << 20
 #: A key of more rows than this, and than the HOT_KEYS-th part of all rows, is hot: there are fewer than HOT_KEYS such keys.
 HOT_ROWS, HOT_KEYS = 512, 20_000
 
@@ -87,6 +87,18 @@ def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def salted_join(rows: DataFrame, values: DataFrame, key: str, counted: DataFrame, most: int = HOT_ROWS) -> DataFrame:
+    """rows joined with values (one row for each key, of any size) on key, so that no task gets over about `most` rows of a key.
+
+    A key of more rows gets that many salts, and its value a copy for each. counted: a cheap frame with the key of each row.
+    """
+    salts = written(counted.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_n")).where("_n > 1"))
+    n = F.coalesce("_n", F.lit(1))
+    dealt = rows.join(sized(salts), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), n).cast("int")).drop("_n")
+    copies = values.join(sized(salts), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def spread_join(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """rows joined with classes (one row for each key) on key, without the column n of classes: the key's rows, of total in all.
 

@@ -9,13 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import salted_join, slices, spread_join, written
 from .graph import components
 from .simhash import _FOLD
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity s shares a key with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99995 at 0.8.
 BANDS, ROWS = 25, 5
+#: Of the BANDS * ROWS marks of two texts, so many are equal at least, or the pair is not verified: at 0.8, 100 are equal on
+#: average, and fewer than 75 with a probability of 2e-8.
+MARKS_EQUAL = 75
+#: Rows of one key that one task compares; a larger bucket is compared block by block in several tasks.
+BLOCK = 2048
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 1 << 63, (BANDS, ROWS, 1), np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, (BANDS, ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -33,23 +38,52 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(s) for s in map(b" ".join, parts)), np.uint64, n))
 
 
-def band_keys(h: np.ndarray) -> list[int]:
-    """A key for each band: the number of the band with the smallest values of its mixed hashes."""
+def band_keys(h: np.ndarray) -> tuple[list[int], bytes]:
+    """A key for each band (its number with the smallest values of its mixed hashes), and a byte of each of those values."""
     from xxhash import xxh64_intdigest
 
     if not len(h):
-        return []
-    low = [np.min((h ^ x) * m, axis=1) for x, m in zip(_XOR, _ODD, strict=True)]
-    return [xxh64_intdigest(v.astype("<u8").tobytes(), k) - (1 << 63) for k, v in enumerate(low)]
+        return [], b""
+    low = np.stack([np.min((h ^ x) * m, axis=1) for x, m in zip(_XOR, _ODD, strict=True)])
+    keys = [xxh64_intdigest(v.astype("<u8").tobytes(), k) - (1 << 63) for k, v in enumerate(low)]
+    return keys, (low >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over rows (key, i, j, side, row, c, sig) sorted by (key, i, j): pairs of a group with different c and
+    enough equal marks, compared inside the task."""
+
+    def found(at: list[tuple], rows: list[tuple[int, int, int]], sigs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+        side, row, c = np.array(rows, np.int64).T
+        split = at[1] != at[2]  # two blocks, else one with itself
+        for k in range(len(row)):
+            other = np.nonzero((c != c[k]) & ((side > side[k]) if split else (np.arange(len(row)) > k)))[0]
+            near = other[(sig[other] == sig[k]).sum(axis=1) >= MARKS_EQUAL]
+            if len(near):
+                a, b = np.minimum(row[k], row[near]), np.maximum(row[k], row[near])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    now, rows, sigs = None, [], []
+    for batch in batches:
+        for key, i, j, side, row, c, sig in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if (key, i, j) != now:
+                yield from found(now, rows, sigs)
+                now, rows, sigs = (key, i, j), [], []
+            rows.append((side, row, c))
+            sigs.append(sig)
+    yield from found(now, rows, sigs)
 
 
 def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, candidates: DataFrame | None = None) -> DataFrame:
     """(row_col, component) for every row of docs, of which row_col is a unique long: the smallest such number reachable over
     pairs whose shingle sets have at least the Jaccard similarity.
 
-    Rows of equal sets (wordless texts among them) are one node. The first row of each key is verified with the others of the
-    key, and then only rows of a key that are not yet in one component, so that a class of many copies makes few pairs.
-    Pairs (a, b) of candidates are verified too.
+    Rows of equal sets (null and wordless texts among them) are one node. The first row of each key is verified with the
+    others of the key, and then only rows of a key that are not yet in one component, so that a class of many copies makes
+    few pairs. Pairs (a, b) of candidates are verified too. An empty table gives no rows; other columns are not carried.
     """
     from xxhash import xxh3_128_digest
 
@@ -58,16 +92,23 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                sets = [shingles(t, shingle) for t in part.column("t").to_pylist()]
-                same = pa.array([xxh3_128_digest(h.astype("<u8").tobytes()) for h in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("row"), same, pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))], names=["row", "same", "keys"])
-
-    marks = written(texts.mapInArrow(signed, "row long, same binary, keys array<long>"))
-    first = written(marks.groupBy("same").agg(F.min(F.struct("row", "keys")).alias("f"), F.count("*").alias("n")).select("same", "f.row", "f.keys", "n"))
-    twins = marks.select("same", "row").join(first.where("n > 1").select("same", F.col("row").alias("b")), "same").where("row <> b").select(F.col("row").alias("a"), "b")
+                same, keys, sigs = [], [], []
+                for t in part.column("t").to_pylist():
+                    h = shingles(t, shingle)
+                    same.append(xxh3_128_digest(h.astype("<u8").tobytes()))
+                    k, s = band_keys(h)
+                    keys.append(k)
+                    sigs.append(s)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["row", "same", "keys", "sig"])
+
+    marks = written(texts.mapInArrow(signed, "row long, same binary, keys array<long>, sig binary"))
+    total = marks.count()
+    first = written(marks.groupBy("same").agg(F.min(F.struct("row", "keys", "sig")).alias("f"), F.count("*").alias("n")).select("same", "f.row", "f.keys", "f.sig", "n"))
+    twins = spread_join(marks.select("same", "row"), first.where("n > 1").select("same", F.col("row").alias("b"), "n"), "same", "n", total)
+    twins = twins.where("row <> b").select(F.col("row").alias("a"), "b")
     keyed = first.select("row", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("row").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = written(keyed.join(shared, "key"))
+    shared = written(keyed.groupBy("key").agg(F.min("row").alias("low"), F.count("*").alias("n")).where("n > 1"))
+    keyed = written(spread_join(keyed, shared, "key", "n", total))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.distinct())
@@ -82,14 +123,15 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ok = []
-                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+                for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                    both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
                     ok.append(both >= similarity * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         of = written(texts.join(wanted, "row", "left_semi").mapInArrow(sets, "row long, h binary"))
-        full = pairs.join(of.select(F.col("row").alias("a"), F.col("h").alias("x")), "a").join(of.select(F.col("row").alias("b"), F.col("h").alias("y")), "b")
+        full = salted_join(pairs, of.select(F.col("row").alias("b"), F.col("h").alias("y")), "b", pairs)
+        full = salted_join(full, of.select(F.col("row").alias("a"), F.col("h").alias("x")), "a", pairs)
         return written(full.select("a", "b", "x", "y").mapInArrow(close, "a long, b long"))
 
     stars = keyed.where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b"))
@@ -97,9 +139,14 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
         other = candidates.where("a <> b").join(first.select(F.col("row").alias("a")), "a", "left_semi")
         stars = stars.unionByName(other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     edges = verified(stars)
-    found = written(components(edges))
-    known = written(keyed.join(found.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("component", "row").alias("c"), "low"))
-    left, right = (known.where("row <> low").select("key", F.col("row").alias(r), F.col("c").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
-    more = verified(left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b"))
+    found = components(edges).withColumnRenamed("node", "row")
+    known = written(keyed.join(found, "row", "left").select("key", "row", F.coalesce("component", "row").alias("c"), "low"))
+    apart = known.where("row <> low").groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 <> c2")
+    apart = written(apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), "n"))
+    parts = spread_join(known.where("row <> low"), apart, "key", "n", total).select("key", "row", "c", "nb", F.pmod(F.xxhash64("row"), F.col("nb")).cast("int").alias("blk"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    parts = parts.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "row", "c")
+    parts = parts.join(first.select("row", "sig"), "row").select("key", "i", "j", "side", "row", "c", "sig")
+    more = verified(parts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_in_buckets, "a long, b long"))
     groups = components(written(edges.unionByName(more).unionByName(twins))).withColumnRenamed("node", "row")
     return marks.select("row").join(groups, "row", "left").select(F.col("row").alias(row_col), F.coalesce("component", "row").alias("component"))
