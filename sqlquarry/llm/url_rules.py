@@ -1,4 +1,8 @@
-"""URL filters: fixed host and path rules, and association rules that FP-growth mines from labelled URLs."""
+"""URL filters: fixed host and path rules, and association rules that FP-growth mines from labelled URLs.
+
+A mined rule has to beat the base rate: its support and confidence have bounds, and so has the least confidence that its
+number of rows leaves plausible (the lower end of a Wilson interval), which has to be over the verdict's share of all rows.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +19,9 @@ from .common import map_slices, table, written
 
 #: (host, path, verdict); the longest that fits wins.
 FIXED_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 0.01, 0.8, 5
-#: Longest antecedent that is mined, so that the number of item sets stays bounded.
-MAX_ITEMS = 4
+#: The share of labelled rows that a rule's tokens and verdict have at least bounds the number of item sets; a rule's verdict
+#: is the likelier one on its rows, by Z standard errors more than the verdict's share of all rows.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS, Z = 0.01, 0.5, 5, 4.0
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -89,29 +93,43 @@ def _tokenised(df: DataFrame, url_col: str) -> DataFrame:
     return df.mapInArrow(map_slices(run, url_col), schema)
 
 
-def mine(labelled: DataFrame, url_col: str = "url", verdict_col: str = "verdict", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[Mined]:
-    """Rules tokens -> verdict from rows with a verdict of block or allow, by FP-growth over tokens and verdict.
+def least_share(hits: float, rows: float, z: float = Z) -> float:
+    """Lower end of the Wilson interval of hits among rows."""
+    p = hits / rows
+    return (p + z * z / (2 * rows) - z * ((p * (1 - p) + z * z / (4 * rows)) / rows) ** 0.5) / (1 + z * z / rows)
+
 
-    Tokens below the support, and those that every row has, can't be in a useful rule and are dropped first; a row keeps the
-    12 rarest of its others, so that its item sets stay bounded. Null URLs have no tokens; no labelled rows give no rules.
+def mine(labelled: DataFrame, url_col: str = "url", verdict_col: str = "verdict", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, z: float = Z) -> list[Mined]:
+    """Rules tokens -> verdict from rows with a verdict of block or allow, by FP-growth over whole rows of tokens and verdict.
+
+    Tokens below the support, and those that every row has, can't be in a useful rule. Tokens that the very same rows have
+    (a host's labels) count as one, the first by name, since a rule with more of them says nothing new. Null URLs have no
+    tokens; no labelled rows give no rules; repeated rows count each.
     """
     from pyspark.ml.fpm import FPGrowth
 
     rows = _tokenised(labelled.where(F.col(verdict_col).isin("block", "allow")).select(F.col(url_col).cast("string").alias("url"), F.col(verdict_col).alias("v")), "url")
-    rows = written(rows.select("v", "_tokens"))
-    total = rows.count()
+    rows = written(rows.select("v", "_tokens", F.monotonically_increasing_id().alias("row")))
+    shares = {r["v"]: r["count"] for r in rows.groupBy("v").count().collect()}
+    total = sum(shares.values())
     if not total:
         return []
     least = max(MIN_ROWS, min_support * total)
-    common = rows.select(F.explode("_tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least).where(F.col("count") < total).collect()
-    rank = {r["t"]: r["count"] for r in common}  # at most the tokens of 1 / min_support rows
-    if not rank:
+    sets = [F.sum(F.xxhash64("row", F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))) for k in (1, 2)]
+    common = rows.select("row", F.explode("_tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"), F.array(*sets).alias("s"))
+    common = common.where((F.col("n") >= least) & (F.col("n") < total)).groupBy("n", "s").agg(F.min("t").alias("t"))
+    known = sorted(r["t"] for r in common.select("t").collect())  # at most the tokens of 1 / min_support rows
+    if not known:
         return []
-    known = F.array(*[F.lit(t) for t, _ in sorted(rank.items(), key=lambda x: (x[1], x[0]))])
-    items = rows.select(F.concat(F.slice(F.array_intersect(known, "_tokens"), 1, 12), F.array(F.concat(F.lit("verdict="), "v"))).alias("items"))
+    items = rows.select(F.concat(F.array_intersect(F.array(*[F.lit(t) for t in known]), "_tokens"), F.array(F.concat(F.lit("verdict="), "v"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where(F.size("consequent") == 1).where(F.col("consequent")[0].startswith("verdict=")).where(F.size("antecedent") <= MAX_ITEMS)
-    return pruned([Mined(frozenset(r["antecedent"]), r["consequent"][0].removeprefix("verdict="), r["confidence"], r["support"]) for r in found.collect()])
+    found = model.associationRules.where(F.size("consequent") == 1).where(F.col("consequent")[0].startswith("verdict="))
+    out = []
+    for r in found.toLocalIterator():
+        verdict, hits = r["consequent"][0].removeprefix("verdict="), r["support"] * total
+        if least_share(hits, hits / r["confidence"], z) > shares[verdict] / total:
+            out.append(Mined(frozenset(r["antecedent"]), verdict, r["confidence"], r["support"]))
+    return pruned(out)
 
 
 class InvertedIndex:
