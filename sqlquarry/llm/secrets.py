@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import salted_join, shared_dir, sized, table, written
 
 # The base kinds, in the order that ties are sorted by.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -102,7 +102,8 @@ def scan(versions: DataFrame, id_cols: Sequence[str], text_col: str, ledger: str
     Only blobs that the ledger (a folder of Parquet files that all executors reach) does not have with a rule's version are
     scanned, with that rule only; the folder gets what was found, also where that is nothing. Without a ledger a new one
     in the shared folder is used. Null text counts as empty; null ids and repeated rows are kept, one result for each; equal
-    texts share one scan; an empty table gives no rows; other columns are not carried.
+    texts share one scan, whatever their ids; an empty table gives no rows; other columns are not carried. No text is
+    shuffled but one copy of each that repeats (and of each that the ledger has in part).
     """
     spark = versions.sparkSession
     ledger = ledger or shared_dir(spark)
@@ -112,15 +113,26 @@ def scan(versions: DataFrame, id_cols: Sequence[str], text_col: str, ledger: str
     paths = written(docs.select(*ids, "blob"))
 
     wanted = F.array(*[F.lit(r.id) for r in rules])
-    first = paths.groupBy("blob").agg(F.min(F.xxhash64(*ids)).alias("_row"))
+    blobs = paths.groupBy("blob").agg(F.count("*").alias("n"), F.min(F.xxhash64(*ids)).alias("_row"))
     known = _read_ledger(spark, ledger)
     if known is not None:
-        seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        first = first.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen")
+        seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
+        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen")
     else:
-        first = first.withColumn("todo", wanted)
-    first = written(first.where(F.size("todo") > 0))
-    one = docs.select("_text", "blob", F.xxhash64(*ids).alias("_row")).join(first.hint("shuffle_hash"), ["blob", "_row"])
+        blobs = blobs.withColumn("todo", wanted)
+    # texts stay where they are: blobs of one row are scanned in place, of others one row's text is taken first
+    fresh = (F.col("n") == 1) & (F.col("todo") == wanted)
+    blobs = written(blobs if known is not None else blobs.where(~fresh))
+    odd = blobs.where(~fresh)
+    if known is not None and blobs.where(fresh).count() < odd.count():
+        alone = docs.join(sized(blobs.where(fresh).select("blob")), "blob", "left_semi")
+    else:
+        alone = docs.join(sized(odd.select("blob")), "blob", "left_anti")
+    alone = alone.select("blob", "_text", wanted.alias("todo"))
+    blobs = odd
+    repeated = docs.withColumn("_row", F.xxhash64(*ids)).join(sized(blobs.where(F.size("todo") > 0).select("blob", "_row")), ["blob", "_row"], "left_semi")
+    repeated = repeated.groupBy("blob").agg(F.min("_text").alias("_text")).join(blobs.select("blob", "todo"), "blob")
+    one = alone.unionByName(repeated.select("blob", "_text", "todo"))
     lower, text = F.col("_lower"), F.col("_text")
     parts = [
         F.when(F.array_contains("todo", r.id) & _may_match(text, lower, r), spans_of(text, r, k)).otherwise(F.expr(_NONE))
@@ -135,10 +147,26 @@ def scan(versions: DataFrame, id_cols: Sequence[str], text_col: str, ledger: str
     valid = F.transform(F.array_intersect("rules", wanted), lambda r: F.substring_index(r, "@", 1))
     found = found.select("blob", F.transform(F.filter("spans", lambda s: F.array_contains(valid, s["kind"])), lambda s: F.struct(s["start"].alias("start"), (F.array_position(kinds, s["kind"]) - 1).cast("int").alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
     found = written(found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")))
-    out = paths.join(found, "blob", "left")
+    out = _with_spans(paths, found)
     return out.select(*[F.col(i).alias(c) for c, i in zip(id_cols, ids, strict=True)], "blob", F.coalesce("spans", F.expr(_NONE)).alias("spans"))
 
 
+#: Blobs with secrets, and bytes of their spans, that are broadcast at most; more are joined by a shuffle.
+MAX_ROWS, MAX_BYTES = 200_000, 64 << 20
+
+
+def _with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the spans of their blob, or null. A blob of many rows never draws them into one task: found is broadcast
+    where it is small, else its blobs get a copy for each salt."""
+    blobs, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    if blobs <= MAX_ROWS and (blobs + spans) * 64 <= MAX_BYTES:
+        return rows.join(F.broadcast(found), "blob", "left")
+    hit = rows.join(found.select("blob"), "blob", "left_semi")
+    hit = salted_join(hit, found, "blob", hit.select("blob"))
+    rest = rows.join(found.select("blob"), "blob", "left_anti")
+    return hit.unionByName(rest.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
+
+
 def _read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
@@ -158,30 +186,42 @@ def digests(found: DataFrame, rules: Sequence[Rule] = RULES) -> list[Column]:
     return [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base] + [F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")]
 
 
-#: Paths with secrets, and bytes of their spans, that are broadcast at most; more are joined by a shuffle.
-MAX_ROWS, MAX_BYTES = 200_000, 64 << 20
+def _pieces(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each span replaced by the mask, overlapping ones by one. Pieces are gathered in blocks and joined once, so
+    that a text with very many spans costs no square of them."""
+    step = "struct<at: int, out: array<string>>"
+
+    def within(part: Column, at: Column) -> Column:
+        def cut(a, x):
+            keep = F.when(x["start"] >= a["at"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], keep).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")).cast(step), cut)
+
+    flat = F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _BLOCK).cast("int"))
+    part = lambda b: F.slice(flat, b * _BLOCK + 1, F.lit(_BLOCK))
+    high = F.transform(blocks, lambda b: F.array_max(F.transform(part(b), lambda x: x["end"])))
+    before = F.transform(blocks, lambda b: F.coalesce(F.array_max(F.slice(high, F.lit(1), b)), F.lit(0)))
+    cuts = F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), before.alias("at")), lambda x: within(part(x["b"]), x["at"])["out"]))
+    rest = F.substring(text, F.array_max(high) + 1, F.length(text))
+    return F.concat(F.array_join(cuts, ""), rest)
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None, rules: Sequence[Rule] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span that scan() finds replaced by the mask (overlapping spans by one); all rows and columns stay.
+    """docs with every span that scan() finds replaced by the mask (overlapping spans by one); all rows and columns stay, also
+    those named like the operator's own.
 
-    Null texts stay null; ids should be unique: rows that share an id also share the spans found in any of them only if
-    their contents are equal, as the join is on id and content.
+    Null texts stay null; ids don't matter, as spans are joined by content; repeated rows are each masked; an empty table
+    gives no rows.
     """
-    found = scan(docs, [id_col], text_col, ledger, rules).where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    found = written(found.groupBy("_blob").agg(F.min("_spans").alias("_spans")))
-    rows, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()
-    small = rows <= MAX_ROWS and (rows + spans) * 64 <= MAX_BYTES
-    text = F.col(text_col)
-
-    def cut(a, x):
-        keep = F.concat(a["out"], F.when(x["start"] >= a["at"], F.concat(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).otherwise(""))
-        return F.struct(F.greatest(a["at"], x["end"].cast("int")).alias("at"), keep.alias("out"))
-
-    spans_int = F.transform("_spans", lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
-    done = F.aggregate(spans_int, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    out = docs.withColumn("_blob", F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)).join(F.broadcast(found) if small else found, "_blob", "left")
-    return out.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(done)).select(*docs.columns)
+    own = {c: f"_u{k}" for k, c in enumerate(docs.columns)}
+    text = F.col(own[text_col])
+    renamed = docs.select(*[F.col(f"`{c}`").alias(u) for c, u in own.items()], F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256).alias("blob"))
+    found = scan(docs, [id_col], text_col, ledger, rules).where(F.size("spans") > 0).select("blob", "spans")
+    found = written(found.groupBy("blob").agg(F.min("spans").alias("spans")))
+    masked = F.when(F.col("spans").isNull(), text).otherwise(_pieces(text.cast("string"), F.col("spans"), mask))
+    return _with_spans(renamed, found).select(*[(masked if c == text_col else F.col(u)).alias(c) for c, u in own.items()])
 
 
 def oracle_op7(rules: Sequence[Rule] = RULES) -> str:
