@@ -21,8 +21,8 @@ from .common import slices
 WINDOW = 10
 SAMPLE = 8
 SHARD_WORDS = 4_000_000
-#: Bytes of benchmark text that are sent to every task; a larger benchmark is searched in blocks of this size.
-BLOCK_BYTES = 64 << 20
+#: Characters of benchmark text that a task holds at a time; a larger benchmark is searched in blocks of this size.
+BLOCK_BYTES = 4 << 20
 
 # A-Z to lower case; 00-2F, 3A-60 (after A-Z), 7B-7F separate words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -144,21 +144,39 @@ class FMIndex:
 
 
 class Windows:
-    """The benchmark's windows as rows of word numbers, each with the items that have it."""
+    """The benchmark's windows as rows of word numbers (ordered, distinct), each with the items that have it."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.window, self.ids = window, {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        names: dict[str | None, int] = {}
+        rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.lengths = np.array([len(k) for k in found], np.int64)
-        self.phrases = np.zeros((len(found), window), np.int64)
-        for r, k in enumerate(found):
-            self.phrases[r, : len(k)] = k
-        self.items = [sorted(v) for v in found.values()]
-        self.shortest = int(self.lengths.min()) if len(found) else 0
+            words = words_of(text)
+            if not words:
+                continue
+            w = np.fromiter((self.ids.setdefault(x, len(self.ids) + 1) for x in words), np.int32, len(words))
+            if len(w) < window:
+                w = np.pad(w, (0, window - len(w)))
+            part = np.unique(np.lib.stride_tricks.sliding_window_view(w, window), axis=0)
+            rows.append(part)
+            owner.append(np.full(len(part), names.setdefault(item, len(names)), np.int32))
+        every, owner = np.concatenate(rows), np.concatenate(owner)
+        order = np.lexsort((owner, *every.T[::-1]))
+        every, owner = every[order], owner[order]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]).any(axis=1)
+        again = ~new
+        again[1:] &= owner[1:] == owner[:-1]  # an item of this id has the window already
+        kept = ~again
+        self.phrases = every[new]
+        self.lengths = (self.phrases > 0).sum(axis=1)
+        self.owner = owner[kept]
+        self.begin = np.concatenate((np.nonzero(new[kept])[0], [len(self.owner)]))
+        self.names = list(names)
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+
+    def items_of(self, window: int) -> list[str | None]:
+        return [self.names[k] for k in self.owner[self.begin[window] : self.begin[window + 1]].tolist()]
 
 
 class Shard:
@@ -177,10 +195,10 @@ class Shard:
         self.parts.append(np.fromiter((get(x, 0) for x in words), np.int32, len(words)))
         self.total += len(words)
 
-    def results(self, want_spans: bool = False) -> tuple[np.ndarray, list[list[str]], list[list[int]]]:
+    def results(self, want_spans: bool = False) -> tuple[np.ndarray, list[set[str | None]], list[list[int]]]:
         """For each document: the number of hit words, the items found, and (if wanted) the spans start, end, start, end..."""
         docs = len(self.parts)
-        n_hit, items, spans = np.zeros(docs, np.int64), [[] for _ in range(docs)], [[] for _ in range(docs)]
+        n_hit, items, spans = np.zeros(docs, np.int64), [set() for _ in range(docs)], [[] for _ in range(docs)]
         if not docs or not len(self.w.lengths):
             return n_hit, items, spans
         starts = np.concatenate(([0], np.cumsum(self.n_words)))[:-1]
@@ -212,11 +230,8 @@ class Shard:
         doc = np.searchsorted(begin, at, side="right") - 1
         n_hit += np.bincount(doc[hit], minlength=docs)
         pair = np.unique(doc[pos] * len(self.w.lengths) + window)
-        per_doc: dict[int, set[str]] = {}
         for d, w in zip((pair // len(self.w.lengths)).tolist(), (pair % len(self.w.lengths)).tolist(), strict=True):
-            per_doc.setdefault(d, set()).update(self.w.items[w])
-        for d, found in per_doc.items():
-            items[d] = sorted(found)
+            items[d].update(self.w.items_of(w))
         if want_spans:
             edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
             for a, b in zip(np.nonzero(edge == 1)[0].tolist(), (np.nonzero(edge == -1)[0] - 1).tolist(), strict=True):
@@ -225,30 +240,45 @@ class Shard:
         return n_hit, items, spans
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[list[tuple[str, str | None]]]:
-    """The items in blocks of bounded size; the driver holds one copy of the benchmark, streamed in partitions."""
-    out, size = [[]], 0
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
-    for item, text in rows.toLocalIterator():
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items in blocks of bounded size (a longer item is one of its own), streamed to the driver by partition."""
+    block, size = [], 0
+    for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
         n = len(text or "")
         if size and size + n > limit:
-            out.append([])
-            size = 0
-        out[-1].append((item, text))
+            yield block
+            block, size = [], 0
+        block.append((item, text))
         size += n
-    return out
+    yield block
+
+
+class _Sent:
+    """A broadcast value that neither the driver nor a worker keeps after it was used."""
+
+    def __init__(self, sc, value):
+        self.sent = sc.broadcast(value)
+        vars(self.sent).pop("_value", None)
+
+    def get(self):
+        return self.sent.value
+
+    def drop(self) -> None:
+        vars(self.sent).pop("_value", None)  # read again from the worker's file when needed
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, with_spans: bool = False, keep: bool = False) -> DataFrame:
     """Adds n_words, n_hit, items (sorted item ids as strings), n_items, items_sha256, contaminated, and spans if asked for.
 
-    Nulls and texts without words have n_words 0 and no hits; null item ids or texts make no windows; repeated items count
-    once; repeated document rows are judged row by row; an empty benchmark hits nothing; other columns of docs are dropped
-    unless keep. Spans are word offsets start, end (exclusive), flattened and merged. The benchmark is sent to tasks in
-    blocks of block_bytes: one pass over the corpus searches all blocks, one after another, so memory stays bounded.
+    Nulls and texts without words have n_words 0 and no hits; null item texts make no windows; items with a null id have
+    windows and count as one item, which items and items_sha256 don't name; repeated items count once; repeated document rows
+    are judged row by row; an empty benchmark hits nothing; other columns of docs are dropped unless keep, and then those
+    named like added ones give way. Spans are word offsets start, end (exclusive), flattened and merged. The benchmark is
+    sent in blocks of block_bytes: one pass over the corpus searches all blocks, one after another, and a worker holds one of
+    them at a time (and the files that Spark keeps of all on its disk).
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(Windows(b, window)) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+    blocks = [_Sent(spark.sparkContext, Windows(b, window)) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
     added = {"n_words": "long", "n_hit": "long", "items": "array<string>", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"} | ({"spans": "array<long>"} if with_spans else {})
     base = docs if keep else docs.select(id_col, text_col)
     base = base.drop(*[c for c in base.columns if c.lower() in added])
@@ -271,9 +301,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         if not rows:
             return
         texts = [t for r in rows for t in r.column(text_col).to_pylist()]
-        hits = [np.zeros(len(texts), np.int64), [[] for _ in texts], [[] for _ in texts]]
+        hits = [np.zeros(len(texts), np.int64), [set() for _ in texts], [[] for _ in texts]]
         for b in blocks:
-            shard = Shard(b.value)
+            shard = Shard(b.get())
             for t in texts:
                 shard.add(t)
             n_hit, items, spans = shard.results(with_spans or len(blocks) > 1)
@@ -281,13 +311,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 hits = [n_hit, items, spans]
                 break
             for d in np.nonzero(n_hit)[0].tolist():
-                hits[1][d] = sorted({*hits[1][d], *items[d]})
+                hits[1][d] |= items[d]
                 hits[2][d] = _merged(hits[2][d] + spans[d])
                 hits[0][d] = sum(hits[2][d][1::2]) - sum(hits[2][d][::2])
+            b.drop()
+            shard.w = None
+        named = [sorted(x - {None}) for x in hits[1]]
         n_words = shard.n_words
-        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in hits[1]]
+        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]
         cols = {n: pa.concat_arrays([r.column(n) for r in rows]) for n in names}
-        cols |= {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(hits[0], pa.int64()), "items": pa.array(hits[1], pa.list_(pa.string())), "n_items": pa.array([len(x) for x in hits[1]], pa.int64()), "items_sha256": pa.array(digest, pa.string()), "contaminated": pa.array(hits[0] > 0, pa.bool_())}
+        cols |= {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(hits[0], pa.int64()), "items": pa.array(named, pa.list_(pa.string())), "n_items": pa.array([len(x) for x in hits[1]], pa.int64()), "items_sha256": pa.array(digest, pa.string()), "contaminated": pa.array(hits[0] > 0, pa.bool_())}
         if with_spans:
             cols["spans"] = pa.array(hits[2], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
@@ -309,7 +342,7 @@ ORACLE_OP10 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
   FROM b, unnest(range(1, greatest(2, len(w) - 8))) AS t(i) WHERE len(w) > 0),
@@ -319,7 +352,7 @@ dw AS (
   FROM d, ks, unnest(range(1, greatest(1, len(w) - k + 2))) AS t(i)),
 h AS (SELECT doc_id, item_id, k, i FROM dw JOIN bw USING (k, g)),
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(i, i + k)) AS t(p) GROUP BY 1),
-s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS a FROM h GROUP BY 1)
+s AS (SELECT doc_id, count(DISTINCT item_id) + max((item_id IS NULL)::INT) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS a FROM h GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(a, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
