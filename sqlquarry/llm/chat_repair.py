@@ -162,7 +162,8 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     Turns are ordered by number (null first), then role and text, so ties and repeated rows have a fixed order; roles are
     compared trimmed and in lower case, and null or unknown roles cost a relabel or a merge; null text renders as empty;
     turns without a conversation id are one conversation; an empty table gives no rows; other columns are dropped.
-    Conversations of over `segment` turns are cut by turn number, and again by count, so none has to fit into a task.
+    Conversations of over `segment` turns are sorted over all tasks and cut by row, so that neither a long one nor many equal
+    turns have to fit into a task.
     """
     spark = turns.sparkSession
     kind = turns.schema[conv_col].dataType.simpleString()
@@ -194,20 +195,37 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     if not many:
         return result
 
-    # long conversations: a block of turn numbers is one group, read in segments
-    parts = base.join(side, "_c").withColumn("_b", F.floor(F.coalesce("turn", F.lit(-1)) / segment))
-    slim = parts.select("_c", "conv_id", "_b", "turn", "role", F.col("text"))
-    dealt = slim.repartition("_c", "_b").sortWithinPartitions("_c", "conv_id", "_b", "turn", "role", "text")
+    # long conversations: rows in order over all tasks, numbered, and cut into segments
+    rows = written(base.join(side, "_c").withColumn("_tie", F.monotonically_increasing_id()))
+    parts = max(1, -(-rows.count() // (8 * segment)))
+    dealt = rows.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds _p (the task), _k (the segment in it) and _i (the row in the segment)."""
+        from pyspark import TaskContext
+
+        p, now, k, i = TaskContext.get().partitionId(), None, -1, 0
+        for batch in batches:
+            ks, is_ = [], []
+            for c in batch.column("_c").to_pylist():
+                if c != now or i == segment:
+                    now, k, i = c, k + 1, 0
+                ks.append(k)
+                is_.append(i)
+                i += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p] * len(ks), pa.int32()), pa.array(ks, pa.int32()), pa.array(is_, pa.int32())], names=[*batch.schema.names, "_p", "_k", "_i"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    cut = written(dealt.mapInArrow(numbered, f"{fields}, _p int, _k int, _i int").drop("_tie"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, now, sub = [], None, 0
-        for (c, b), group in _groups(batches, ("_c", "_b"), segment):
-            sub = sub + 1 if (c, b) == now else 0
-            now = (c, b)
+        found = []
+        for (c, p, k), group in _groups(batches, ("_c", "_p", "_k"), None):
             roles = [role_number(r["role"]) for r in group]
-            rows.append((c, b, sub, [x for e in range(4) for x in forward(roles, e)[0]]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["_c", "_b", "sub", "m"])
+            found.append((c, p, k, [x for e in range(4) for x in forward(roles, e)[0]]))
+        if found:
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["_c", "_p", "_k", "m"])
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (c,), segs in _groups(batches, ("_c",), None):
@@ -223,23 +241,20 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
                 ends.append(state)
             ends.reverse()
             n = len(segs)
-            yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.int64()), pa.array([s["_b"] for s in segs], pa.int64()), pa.array([s["sub"] for s in segs], pa.int32()), pa.array(ends[:-1], pa.int32()), pa.array(ends[1:], pa.int32()), pa.array([k == 0 for k in range(n)]), pa.array([k == n - 1 for k in range(n)]), pa.array([total] * n, pa.int64())], names=["_c", "_b", "sub", "entry", "exit", "opening", "closing", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([s["_p"] for s in segs], pa.int32()), pa.array([s["_k"] for s in segs], pa.int32()), pa.array(ends[:-1], pa.int32()), pa.array(ends[1:], pa.int32()), pa.array([k == 0 for k in range(n)]), pa.array([k == n - 1 for k in range(n)]), pa.array([total] * n, pa.int64())], names=["_p", "_k", "entry", "exit", "opening", "closing", "total"])
 
-    segs = dealt.mapInArrow(matrices, "_c long, _b long, sub int, m array<long>").repartition("_c").sortWithinPartitions("_c", "_b", "sub")
-    segs = written(segs.mapInArrow(chosen, "_c long, _b long, sub int, entry int, exit int, opening boolean, closing boolean, total long"))
-    plan_of = segs.groupBy("_c", "_b").agg(F.sort_array(F.collect_list(F.struct("sub", "entry", "exit", "opening", "closing", "total"))).alias("segs"))
+    by_segment = cut.repartition("_p", "_k").sortWithinPartitions("_c", "_p", "_k", "_i")
+    segs = by_segment.select("_c", "_p", "_k", "role").mapInArrow(matrices, "_c long, _p int, _k int, m array<long>").repartition("_c").sortWithinPartitions("_c", "_p", "_k")
+    segs = written(segs.mapInArrow(chosen, "_p int, _k int, entry int, exit int, opening boolean, closing boolean, total long"))
 
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sub = None, 0
-        for (c, b), group in _groups(batches, ("_c", "_b"), segment):
-            sub = sub + 1 if (c, b) == now else 0
-            now = (c, b)
-            s = group[0]["segs"][sub]
+        for _, group in _groups(batches, ("_p", "_k"), None):
+            s = group[0]
             _, plan, _ = repair([role_number(r["role"]) for r in group], s["entry"], s["exit"])
             last = FINISH[s["exit"]][1] if s["closing"] else ()
             yield pa.RecordBatch.from_pylist(_rows(group, s["total"], plan, last, pieces([r["text"] for r in group], plan, last, s["opening"], s["closing"])), arrow)
 
-    ready = slim.join(plan_of, ["_c", "_b"]).repartition("_c", "_b").sortWithinPartitions("_c", "conv_id", "_b", "turn", "role", "text")
+    ready = cut.join(segs, ["_p", "_k"]).repartition("_p", "_k").sortWithinPartitions("_c", "_p", "_k", "_i")
     return result.unionByName(ready.mapInArrow(segmented, out_schema))
 
 
