@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,13 +20,17 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, table
 
+#: Elements inside one another; as in browsers, a deeper one takes the place of the one beside it.
+MAX_DEPTH = 512
 PATH_DIMS, WORD_DIMS, COUNTS, HIDDEN = 2048, 64, 6, 24
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr br input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr br input math mi mn mo mrow ms mtext mfrac msqrt msub msup msubsup munder mover svg text tspan object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg math iframe object canvas title select textarea head".split())
+SILENT = frozenset("script style template iframe title select textarea head".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div article section main body aside nav form".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(script|style)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S | re.I)
+_OPENS = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_TO_END = re.compile(r"""(?:[^'">]++|"[^"]*"|'[^']*')*+>""")
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 
@@ -45,6 +50,37 @@ def _name_tokens(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Start, end, tag (None: nothing but markup), whether it closes, and attributes of each piece of markup, in one pass.
+
+    A comment, script or style without an end goes on to the page's end. From the first tag on that quotes keep open to the
+    page's end, tags end at the next > whatever the quotes; a < without a > behind it is text.
+    """
+    at, strict, cdata = 0, True, True
+    while m := _OPENS.search(page, at):
+        start, tag = m.start(), m[5]
+        if m[1]:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        else:
+            end = 0
+            if m[2] and cdata:
+                end = page.find("]]>", m.end()) + 3
+                cdata = end > 2
+            if not m[2] or not cdata:
+                quoted = _TO_END.match(page, m.end()) if tag and strict else None
+                strict = strict and (quoted is not None or not tag)
+                end = quoted.end() if quoted else page.find(">", m.end()) + 1
+                if not end:
+                    return
+        attrs = page[m.end() : end - 1] if tag else ""
+        if tag and not m[4] and tag.lower() in _ENDS:
+            closing = _ENDS[tag.lower()].search(page, end)
+            end, tag = closing.end() if closing else len(page), None
+        yield start, end, tag and tag.lower(), bool(m[4]), attrs
+        at = end
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in page order; white space, br included, becomes one space; character references are decoded."""
     out: list[Block] = []
@@ -71,12 +107,11 @@ def blocks_of(page: str | None) -> list[Block]:
                 state["linked"] += len(s)
 
     at, page = 0, page or ""
-    for m in _TAG.finditer(page):
-        text_in(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+    for start, end, tag, closing, attrs in markup(page):
+        text_in(page[at:start])
+        at = end
+        if tag is None:
             continue
-        tag, closing = m[3].lower(), bool(m[2])
         if tag == "a":
             state["link"] = 0 if closing else 1
             continue
@@ -99,8 +134,10 @@ def blocks_of(page: str | None) -> list[Block]:
                 break
         if tag == "body":
             pop_to(0)
-        if tag not in VOID and not m[4].rstrip().endswith("/"):
-            stack.append((tag, _name_tokens(tag, m[4])))
+        if tag not in VOID and not attrs.rstrip().endswith("/"):
+            if len(stack) >= MAX_DEPTH:
+                pop_to(MAX_DEPTH - 1)
+            stack.append((tag, _name_tokens(tag, attrs)))
             state["silent"] += tag in SILENT
     text_in(page[at:])
     flush()
@@ -124,11 +161,9 @@ def vectors(blocks: list[Block]) -> tuple[list[list[int]], np.ndarray]:
             f = cache[b.path] = sorted({_slot(t, PATH_DIMS // 2) for t in b.path} | {PATH_DIMS // 2 + _slot(t, PATH_DIMS // 2) for t in b.path[-4:]})
         path.append(f)
         words = b.text.split()
-        for w in words[:50]:
-            dense[k, _slot(w.lower(), WORD_DIMS)] += 0.2
+        dense[k, :WORD_DIMS] = np.bincount([_slot(w, WORD_DIMS) for w in b.text.lower().split()], minlength=WORD_DIMS)[:WORD_DIMS] / len(words) ** 0.5
         n = len(b.text)
         dense[k, WORD_DIMS:] = np.log1p(n) / 8, min(1.0, b.linked / n), sum(map(b.text.count, ".,;!?")) / max(1, len(words)), np.log1p(len(words)) / 6, k / max(1, len(blocks) - 1), 1.0
-    np.minimum(dense[:, :WORD_DIMS], 1.0, out=dense[:, :WORD_DIMS])
     return path, dense
 
 
@@ -309,8 +344,8 @@ def generated_page(rng: np.random.Generator) -> str:
                 rows.append(sentence())
         if kind == "ad" and rng.random() < 0.6:
             rows = [sentence()]
-        if kind in ("ad", "notice") and rng.random() < 0.1:
-            own = None
+        if kind == "notice" and rng.random() < 0.2:
+            return f"<noscript>{sentence()}</noscript>"
         return f"<{open_tag}>{''.join(rows)}</{tag}>"
 
     def main() -> str:
@@ -332,8 +367,10 @@ def generated_page(rng: np.random.Generator) -> str:
                 rows.append(f"<blockquote><p data-main>{body}</p></blockquote>")
             elif r < 0.92:
                 rows.append("<table>" + "".join(f"<tr><td data-main>{words(1, 3)}</td><td data-main>{words(1, 3)}</td></tr>" for _ in range(2)) + "</table>")
-            elif r < 0.94:
+            elif r < 0.935:
                 rows.append(f"<pre data-main>{body}</pre>")
+            elif r < 0.94:
+                rows.append(f"<noscript><p data-main>{body}</p></noscript>")
             else:
                 rows.append(noise(pick(["ad", "aside", "form", "share", "nav", "notice"])))
         if rng.random() < 0.15:
