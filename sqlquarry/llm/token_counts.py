@@ -7,9 +7,10 @@ two together are tokenised as t, u) and emits the change of the count. States an
 reached. A space after another character returns to the start state, as no piece has one inside, so a run from one such
 reset to the next is one macro-transition with a fixed count.
 
-A text is cut into chunks. A chunk's state map says what each entry state becomes and how many tokens are emitted; with a
-reset inside it is constant but for the head before the reset. Maps are composed pairwise in a tree (a parallel prefix
-scan's up-sweep), so no count depends on reading from the left.
+A text is cut into chunks. A chunk's state map takes an entry state to the exit state and the tokens emitted on the way. It is
+filled for the entry that the characters before the chunk make likely, so maps don't wait for one another, and for any other
+entry when one turns up. With a reset inside, all entries have one exit, and only the count of the part before it differs.
+Maps are composed pairwise in a tree (the up-sweep of a parallel prefix scan); a composed map asks its halves.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from .common import map_slices, table
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
 LIMIT = 4096
-#: Entries of a worker's table of runs; it starts anew when full.
-MEMO = 500_000
+#: Entries of a worker's tables of runs, of pieces and of pairs; of states; and of transitions. A full one starts anew.
+MEMO, MAX_STATES, MAX_STEPS = 500_000, 200_000, 600_000
+#: Characters before a chunk that its likely entry state is read from.
+MARGIN = 64
 SPACE = "▁"
 
 
@@ -51,9 +54,23 @@ class Transducer:
         self.resets = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.whole: dict[str, bool] = {}
         self.side: dict[tuple[str, str], bool] = {}
-        start = ((("", "", 0),), 0)
-        self.number, self.states, self.next = {start: 0}, [start], [{}]
+        self.start = (("", "", 0),)
         self.memo: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.states, self.next, self.steps = {self.start: 0}, [self.start], [{}], 0
+
+    def numbered(self, state: tuple) -> int:
+        """The state's number, a new one if it has none. States that are kept elsewhere are kept whole, as numbers change."""
+        n = self.number.get(state)
+        if n is None:
+            if len(self.states) >= MAX_STATES:
+                self.forget()
+            n = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.next.append({})
+        return n
 
     def merged(self, text: str) -> list[str]:
         """The tokens of a short text by repeated merging."""
@@ -73,17 +90,21 @@ class Transducer:
         """Whether the piece is a token and may follow the token last."""
         ok = self.whole.get(piece)
         if ok is None:
+            if len(self.whole) >= MEMO:
+                self.whole.clear()
             ok = self.whole[piece] = len(piece) == 1 or (piece in self.score and self.merged(piece) == [piece])
         if not ok or not last:
             return ok
         pair = (last, piece)
         ok = self.side.get(pair)
         if ok is None:
+            if len(self.side) >= MEMO:
+                self.side.clear()
             ok = self.side[pair] = self.merged(last + piece) == [last, piece]
         return ok
 
     def compile(self, state: int, c: str) -> tuple[int, int]:
-        live, _ = self.states[state]
+        live = self.states[state]
         token, count = None, 0
         for text, last, n in live:  # longest first
             piece = text + c
@@ -91,13 +112,9 @@ class Transducer:
                 token, count = piece, n + (1 if piece in self.score else len(piece.encode()))
                 break
         grown = [(text + c, last, n - count) for text, last, n in live if text + c in self.prefixes]
-        new = ((*grown, ("", token, 0)), 0)
-        to = self.number.get(new)
-        if to is None:
-            to = self.number[new] = len(self.states)
-            self.states.append(new)
-            self.next.append({})
-        self.next[state][c] = step = (to, count)
+        steps, to = self.next[state], self.numbered((*grown, ("", token, 0)))
+        steps[c] = step = (to, count)  # in no table any more if that was a new start
+        self.steps += 1
         return step
 
     def read(self, state: int, text: str) -> tuple[int, int]:
@@ -106,7 +123,12 @@ class Transducer:
         for c in text:
             step = table[state].get(c)
             if step is None:
+                if self.steps >= MAX_STEPS:
+                    now = self.states[state]
+                    self.forget()
+                    state = self.numbered(now)
                 step = self.compile(state, c)
+                table = self.next
             state = step[0]
             total += step[1]
         return state, total
@@ -119,50 +141,64 @@ class Transducer:
             if len(text) <= 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
-                if len(self.states) >= MEMO:
-                    self.number, self.states, self.next = {self.states[0]: 0}, self.states[:1], [{}]
                 self.memo[text] = n
         return n
 
-    # A chunk's state map: (first character, last character, head, count, tail). head is the text before the first reset
-    # inside, to be read from the entry state; count is that of whole runs; tail is the text after the last reset, or None
-    # if there is no reset (then head is the whole chunk).
-
-    def chunk_map(self, text: str) -> tuple:
-        if not self.resets:
-            return text[:1], text[-1:], text, 0, None
-        runs = RUNS.findall(text)
-        if len(runs) == 1:
-            return text[:1], text[-1:], text, 0, None
-        get = self.memo.get
-        counts = [get(r) for r in runs[1:-1]]
-        total = sum(self.run(r) if n is None else n for r, n in zip(runs[1:-1], counts, strict=True)) if None in counts else sum(counts)
-        return text[:1], text[-1:], runs[0], total, runs[-1]
-
-    def composed(self, a: tuple, b: tuple) -> tuple:
-        """a's map, then b's."""
-        (first, a_last, a_head, a_n, a_tail), (b_first, last, b_head, b_n, b_tail) = a, b
-        if self.resets and b_first == SPACE != a_last:
-            if a_tail is None:  # a is one run so far, and b starts the next
-                return (first, last, a_head, 0, b_head) if b_tail is None else (first, last, a_head, self.run(b_head) + b_n, b_tail)
-            n = a_n + self.run(a_tail)
-            return (first, last, a_head, n, b_head) if b_tail is None else (first, last, a_head, n + self.run(b_head) + b_n, b_tail)
-        if a_tail is None:
-            return first, last, a_head + b_head, b_n, b_tail
-        if b_tail is None:
-            return first, last, a_head, a_n, a_tail + b_head
-        return first, last, a_head, a_n + self.run(a_tail + b_head) + b_n, b_tail
+    def whole_runs(self, runs: list[str]) -> int:
+        counts = [*map(self.memo.get, runs)]
+        return sum(self.run(r) if n is None else n for r, n in zip(runs, counts, strict=True)) if None in counts else sum(counts)
 
     def count(self, text: str, chunk: int = CHUNK_CHARS) -> int:
         """Tokens of the whole text, with the model's leading space."""
         if not text:
             return 0
         text = SPACE + text.replace(" ", SPACE)
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+        if len(text) <= chunk and self.resets:
+            return self.whole_runs(RUNS.findall(text))
+        maps = [Chunk(self, text[i : i + chunk], text[max(0, i - MARGIN) : i]) for i in range(0, len(text), chunk)]
         while len(maps) > 1:
-            maps = [self.composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        _, _, head, n, tail = maps[0]
-        return self.run(head) + n + (self.run(tail) if tail is not None else 0)
+            maps = [Pair(self, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0].at(self.start)[1]
+
+
+class Chunk:
+    """State map of a chunk: entry state -> exit state, tokens emitted."""
+
+    def __init__(self, t: Transducer, text: str, before: str):
+        self.t, self.first, self.last = t, text[:1], text[-1:]
+        runs = RUNS.findall(text) if t.resets else [text]
+        self.head, self.rest, self.exit = runs[0], 0, None
+        if len(runs) > 1:
+            state, n = t.read(0, runs[-1])
+            self.exit, self.rest = t.states[state], n + t.whole_runs(runs[1:-1])
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+        likely = RUNS.findall(before)[-1] if before and t.resets else before
+        self.at(t.states[t.read(0, likely)[0]])
+
+    def at(self, entry: tuple) -> tuple[tuple, int]:
+        found = self.known.get(entry)
+        if found is None:
+            t = self.t
+            state, n = t.read(t.numbered(entry), self.head)
+            found = self.known[entry] = (self.exit or t.states[state], n + self.rest)
+        return found
+
+
+class Pair:
+    """The state map of two maps in a row."""
+
+    def __init__(self, t: Transducer, a: Chunk | Pair, b: Chunk | Pair):
+        self.t, self.a, self.b, self.first, self.last = t, a, b, a.first, b.last
+        self.reset = t.resets and b.first == SPACE != a.last
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+
+    def at(self, entry: tuple) -> tuple[tuple, int]:
+        found = self.known.get(entry)
+        if found is None:
+            middle, n = self.a.at(entry)
+            out, more = self.b.at(self.t.start if self.reset else middle)
+            found = self.known[entry] = (out, n + more)
+        return found
 
 
 RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
