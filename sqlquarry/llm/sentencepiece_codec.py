@@ -48,6 +48,15 @@ def _bitmap(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _running(x: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Running sums within segments (begin, length), each added from its own start, so that no segment depends on another."""
+    out = x.copy()
+    for k in range(1, int(n.max(initial=0))):
+        at = begin[n > k] + k
+        out[at] += out[at - 1]
+    return out
+
+
 class Lattice:
     """Piece lattices of runs, as flat tables: a node for each (run, end position), an edge for each piece ending there."""
 
@@ -134,9 +143,8 @@ class Lattice:
             v = value[e] + np.where(inner[e], total[start[e] - 1], 0.0)
             value[e] = v
             top = np.maximum.reduceat(v, begin)
-            total[here] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, n)), begin))
-        share = np.cumsum(np.exp(value - total[end]))
-        cum = share - np.repeat(np.concatenate(([0.0], share))[first], many)
+            total[here] = top + np.log(_running(np.exp(v - np.repeat(top, n)), begin, n)[begin + n - 1])
+        cum = _running(np.exp(value - total[end]), first, many)
         cum[first + many - 1] = 2.0
         nodes_before, edges_before = len(self.first) - 1, len(self.cum)
         self.at.update(zip(runs, (stops - 1 + nodes_before).tolist(), strict=True))
