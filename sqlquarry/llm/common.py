@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,36 +24,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written and not yet removed, by application.
+_FOLDERS: dict[str, list[str]] = {}
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, which is set only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir. Where that is unset, a local master gets a
+    temporary folder that goes when Python ends (the session's settings stay as they are); any other master is refused."""
+    root, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL_ROOTS.get(app)
+        if root is None:
+            folder = tempfile.mkdtemp(prefix="sqlquarry-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            root = _LOCAL_ROOTS[app] = "file://" + folder
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(app, []).append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read again: cuts lineage and survives lost executors."""
+    """df, written once to the shared folder and read again: cuts lineage and survives lost executors. The folder stays until
+    removed() or release()."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def removed(spark: SparkSession, *frames: DataFrame) -> None:
     """Drops folders made by written() that are read no more."""
-    jvm = spark._jvm
+    folders = _FOLDERS.get(spark.sparkContext.applicationId, [])
     for df in frames:
-        files = df.inputFiles()
-        if files:
-            path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        own = {f.rstrip("/").rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()[:1]}
+        for path in [x for x in folders if x.rpartition("/")[2] in own]:
+            _delete(spark, path)
+            folders.remove(path)
 
 
-def extra_columns(df: DataFrame, taken: Iterable[str]) -> DataFrame:
-    """df without columns whose names clash with those an operator adds."""
-    clash = {c.lower() for c in taken}
-    return df.drop(*[c for c in df.columns if c.lower() in clash])
+def mark(spark: SparkSession) -> int:
+    """How many folders there are: what release() takes to spare them."""
+    return len(_FOLDERS.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Drops the folders that operators of this application have written (since a mark), when their results have been used."""
+    folders = _FOLDERS.get(spark.sparkContext.applicationId, [])
+    kept = {f.rstrip("/").rpartition("/")[0].rpartition("/")[2] for f in but.inputFiles()[:1]} if but is not None else set()
+    for path in folders[since:]:
+        if path.rpartition("/")[2] not in kept:
+            _delete(spark, path)
+            folders.remove(path)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -78,10 +109,6 @@ def map_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, limi
     return run
 
 
-def text_column(df: DataFrame, name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
 def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (of a few numbers each), else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= most else df
