@@ -80,7 +80,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     own = ["file:" + os.path.abspath(at(n)) for n in ARTIFACTS]
     if previous is not None:
         previous.count()
-    skip = own + ([r[0] for r in previous.select("path").collect()] if previous is not None else [])
+    skip = spark.createDataFrame([(x,) for x in own], "path string")
+    skip = skip.unionByName(previous.select("path")) if previous is not None else skip
     manifest = None
     if os.path.exists(at("split_manifest.tsv")):
         manifest = corpus.read_split_manifest(spark, "file:" + os.path.abspath(at("split_manifest.tsv")))
@@ -94,9 +95,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     plan = rewrite.quarantine_plan(corpus.read_files(spark, root).select("path"), root, options.suffixes, tuple(own))
     moved = effects.move(plan)
     sinks.write_tsv(spark.createDataFrame(moved, "original_file string, quarantined_file string"), at("quarantine_manifest.tsv"), ("original_file",))
+    chosen = corpus.chosen_files(spark, root, options, skip).cache()
     texts = corpus.read_corpus(spark, root, options, skip).cache()
     result = Scan(scanned(texts.repartition(max(1, a.workers)), options), options).persist()
-    bad = rewrite.bad_file_plan(result.bad_files(), root).cache()
+    bad = rewrite.bad_file_plan(result.bad_files().unionByName(corpus.unreadable(chosen, texts)), root).cache()
     bad.count()
     gone = dict(effects.move(bad, "path"))
     rows = [r.asDict() | {"quarantined_file": gone.get(effects.local(r["path"]), "")} for r in bad.collect()]
@@ -130,7 +132,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
         sinks.write_tsv(table, at("split_manifest.tsv"), ("original_file", "block_number"))
     if a.verbose:
         for r in result.stats().toLocalIterator():
-            print(r["path"], r["n_chunks"], r["n_tokens"], file=sys.stderr)
+            print(r["path"], r["n_chunks"], r["n_tokens"], f"{r['n_partial']} not read to the end", file=sys.stderr)
     return 1 if found else 0
 
 

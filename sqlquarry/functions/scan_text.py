@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 
 from ..options import NO_SCHEMA, NO_TABLE, ScanOptions
@@ -11,6 +12,8 @@ from .parse import Node, Predicate, read, window_literal
 from .scope import Scopes, has_set_operator, name_of
 
 _NAME = re.compile("""['"]([가-힣]{2,4})['"]""")
+#: Python calls inside one another at most.
+FRAMES = 20_000
 _JOINTYPE = {"JOIN": "INNER", "INNER": "INNER", "COMMA": "INNER"}
 
 
@@ -38,6 +41,8 @@ class _Statement:
 
     def kept(self, lo: int) -> bool:
         """Not inside a select list that counts as unread."""
+        if not self.parsed.fragments:
+            return True
         return not (self.options.compat_fragments and any(a <= lo < b for a, b in self.parsed.fragments))
 
     def column(self, node: Node, with_cte: bool = True) -> tuple[str, str]:
@@ -211,24 +216,27 @@ def _select_block(t: list[Token], scopes: Scopes) -> bool:
 
 
 def _comment_findings(tokens: list[Token], options: ScanOptions, columns: frozenset[str]) -> list[tuple]:
-    out = []
-    for c in tokens:
-        if c.type in ("LINE_COMMENT", "SQL_COMMENT"):
-            inner = comment_text(c)
-            own, _ = lex(inner)
-            rows = []
-            for part in chunks(own):
+    """Findings in comments, and in comments inside them, with lines and offsets of the whole text."""
+    out, todo = [], [(tokens, 0, 0)]
+    while todo:
+        own, line, at = todo.pop()
+        for c in own:
+            if c.type not in ("LINE_COMMENT", "SQL_COMMENT"):
+                continue
+            inner, down, by = comment_text(c), line + c.line - 1, at + c.start + 2
+            deeper, _ = lex(inner)
+            for part in chunks(deeper):
                 if any(not x.hidden for x in part):
                     s = _Statement(part, inner, options)
-                    rows += s.findings(columns)
-            rows += _comment_findings(own, options, columns)
-            out += [(n, op, line + c.line - 1, a + c.start + 2, b + c.start + 2) for n, op, line, a, b in rows]
+                    out += [(n, op, row + down, a + by, b + by) for n, op, row, a, b in s.findings(columns)]
+            todo.append((deeper, down, by))
     return out
 
 
 def scan_text(text: str, options: ScanOptions) -> dict:
     """Rows of every relation for one text; bad is set, and the rest empty, if it is no usable SQL."""
-    empty = {"bad": None, "findings": [], "names": [], "tables": [], "columns": [], "functions": [], "edges": [], "identities": [], "blocks": [], "n_chunks": 0, "n_tokens": 0}
+    empty = {"bad": None, "findings": [], "names": [], "tables": [], "columns": [], "functions": [], "edges": [], "identities": [], "blocks": [], "n_chunks": 0, "n_tokens": 0, "n_partial": 0}
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))  # subqueries inside one another
     try:
         tokens, errors = lex(text)
         bad = quality(tokens, errors)
@@ -242,12 +250,13 @@ def scan_text(text: str, options: ScanOptions) -> dict:
 def _scan(text: str, tokens: list[Token], options: ScanOptions) -> dict:
     out = {"tables": [], "columns": [], "functions": [], "edges": [], "identities": [], "blocks": []}
     columns = frozenset(c.upper() for c in options.sensitive_columns)
-    hits, parts = [], chunks(tokens)
+    hits, parts, partial = [], chunks(tokens), 0
     for n, part in enumerate(parts):
         if not any(not x.hidden for x in part):
             continue
         s = _Statement(part, text, options)
         hits += s.findings(columns)
+        partial += s.parsed.partial
         if options.extract_table_refs:
             out["tables"] += [{"schema": t.schema, "table": t.table, "line": t.line} for t in s.scopes.tables()]
         if options.extract_column_refs:
@@ -287,4 +296,4 @@ def _scan(text: str, tokens: list[Token], options: ScanOptions) -> dict:
                 names.append(m[1])
     rows.sort(key=lambda r: (r[0], r[5]))
     out["findings"] = [{"severity": "FINDING", "line": r[0], "column_name": r[1], "operator": r[2], "value": r[3], "snippet": snippet(lines, r[0]), "in_comment": "Y" if r[4] else "N", "start_offset": r[5], "end_offset": r[6]} for r in rows]
-    return out | {"names": names, "n_chunks": len(parts), "n_tokens": len(tokens)}
+    return out | {"names": names, "n_chunks": len(parts), "n_tokens": len(tokens), "n_partial": partial}

@@ -70,7 +70,7 @@ def similarity(identities: DataFrame, threshold: float = 0.5) -> DataFrame:
     if threshold <= 0:
         raise ValueError("threshold is over 0: at 0 every pair would be a result")
     one = identities.groupBy("core_id").agg(F.min_by("facts", F.struct("file", "line", "facts")).alias("facts")).select(F.col("core_id").alias("id"), "facts")
-    both = pairs_by_facts(one, threshold)
+    both = pairs_by_facts(one.persist(), threshold)  # one pass over the texts for all branches
     sim = F.bround(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")), 3)
     diff = lambda x, y: F.array_sort(F.transform(F.array_except(x, y), humanized))
     out = both.where(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")) >= threshold)

@@ -18,7 +18,7 @@ def mask_of(value: Column) -> Column:
 
 
 def masked(texts: DataFrame, findings: DataFrame) -> DataFrame:
-    """texts (path, text) with masked_text and the numbers of spans masked, overlapping and unmaskable.
+    """texts (path, text) with masked_text, masked_spans (a, b, put) and the numbers of spans masked, overlapping and unmaskable.
 
     Spans are taken in order; one that starts at or before the last masked one's end is skipped; an unmaskable one is left
     and hides none behind it.
@@ -26,7 +26,7 @@ def masked(texts: DataFrame, findings: DataFrame) -> DataFrame:
     own = findings.where("start_offset IS NOT NULL").select(F.col("file").alias("path"), F.col("start_offset").alias("a"), F.col("end_offset").alias("b")).distinct()
     spans = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
     text = F.col("text")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(-1).alias("end"), F.lit(0).alias("m"), F.lit(0).alias("o"), F.lit(0).alias("u"))
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(-1).alias("end"), F.lit(0).alias("m"), F.lit(0).alias("o"), F.lit(0).alias("u"), F.expr("CAST(array() AS array<struct<a:int,b:int,put:string>>)").alias("s"))
 
     def step(acc: Column, x: Column) -> Column:
         over = x["a"] <= acc["end"]
@@ -36,11 +36,12 @@ def masked(texts: DataFrame, findings: DataFrame) -> DataFrame:
             F.when(take, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["a"] - acc["at"]), put)).otherwise(acc["out"]).alias("out"),
             F.when(take, x["b"] + 1).otherwise(acc["at"]).alias("at"), F.when(take, x["b"]).otherwise(acc["end"]).alias("end"),
             (acc["m"] + take.cast("int")).alias("m"), (acc["o"] + over.cast("int")).alias("o"), (acc["u"] + (~over & put.isNull()).cast("int")).alias("u"),
+            F.when(take, F.concat(acc["s"], F.array(F.struct(x["a"].alias("a"), x["b"].alias("b"), put.alias("put"))))).otherwise(acc["s"]).alias("s"),
         )
 
     done = texts.join(spans, "path", "left").withColumn("r", F.aggregate(F.coalesce("s", F.expr("CAST(array() AS array<struct<a:int,b:int>>)")), zero, step))
     whole = F.concat("r.out", F.substring(text, F.col("r.at") + 1, F.length(text)))
-    return done.select("path", "text", whole.alias("masked_text"), F.col("r.m").alias("masked"), F.col("r.o").alias("skipped_overlap"), F.col("r.u").alias("skipped_unmaskable"))
+    return done.select("path", "text", whole.alias("masked_text"), F.col("r.m").alias("masked"), F.col("r.o").alias("skipped_overlap"), F.col("r.u").alias("skipped_unmaskable"), F.col("r.s").alias("masked_spans"))
 
 
 def split_plan(blocks: DataFrame) -> DataFrame:

@@ -82,6 +82,11 @@ def create_list(path: str, title: str) -> bool:
     return True
 
 
+def totals(findings: DataFrame) -> DataFrame:
+    """Findings of each file, and of all (file null)."""
+    return findings.rollup("file").agg(F.count("*").alias("findings"))
+
+
 def _table(title: str, df: DataFrame, most: int = TOP) -> list[str]:
     """A section with at most `most` rows, and how many more there are."""
     rows = df.limit(most).select(*[markdown(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in df.columns]).collect()
@@ -114,7 +119,7 @@ def write_summary(scan, path: str, info: dict[str, str], similarity: DataFrame |
     if o.split_selects:
         parts += _table("Select Blocks", scan.stats().where("select_block_count > 1").select("path", "select_block_count").orderBy("path"))
     found = scan.findings()
-    parts += _table("Sensitive Findings", found.rollup("file").agg(F.count("*").alias("findings")).orderBy(F.col("file").isNotNull(), F.desc("findings"), "file"), DETAIL)
+    parts += _table("Sensitive Findings", totals(found).orderBy(F.col("file").isNotNull(), F.desc("findings"), "file"), DETAIL)
     detail = first_per_file(found.groupBy("file", "line", "column_name", "operator").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_offset", "value"))), lambda x: x["value"]).alias("v")))
     parts += _table("Details", detail.select("file", "line", "column_name", "operator", shown_values(F.col("v")).alias("values")).orderBy("file", "line"), 10 * DETAIL)
     with open(path, "w", encoding="utf-8") as f:

@@ -21,12 +21,13 @@ def chunked(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return deep.withColumn("chunk_id", F.coalesce(F.sum(((F.col("type") == ";") & (F.col("depth") == 0)).cast("int")).over(before), F.lit(0)))
 
 
-def longest_runs(marks: DataFrame, keys: list[str]) -> DataFrame:
-    """Longest run of equal marks at adjoining positions (keys, pos, mark): gaps and islands."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    new = (F.lag("mark").over(w) == F.col("mark")) & (F.lag("pos").over(w) == F.col("pos") - 1)
-    islands = marks.withColumn("_new", F.when(new, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "_island").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("longest_run"))
+#: The ASCII punctuation marks, as a class for regular expressions of Java and of RE2.
+MARKS = r"[!-/:-@\[-`{-~]"
+
+
+def longest_run(text: Column) -> Column:
+    """Length of the longest run of one punctuation mark; null if the text has none."""
+    return F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"({MARKS})\\1*"), F.lit(0)), F.length))
 
 
 def exploded(tokens: DataFrame) -> DataFrame:

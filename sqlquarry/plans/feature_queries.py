@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +15,7 @@ from ..operators import tokens as token_ops
 from ..options import ScanOptions
 from ..sources import corpus as sources
 from .queries import _CALLS, _FACTS, _FINDINGS, ALL, _query, _scan
-from .scan import Scan, scan_table, tokens
+from .scan import Scan, scan, scan_table, tokens
 
 # ¤ is a quote inside a text, § the customer's key
 FORMS = (
@@ -176,3 +181,61 @@ def comment_texts(spark, sf_dir):
 
     found = token_ops.exploded(tokens(statements(spark, sf_dir))).where(F.col("type").isin("LINE_COMMENT", "SQL_COMMENT"))
     return found.select("path", F.regexp_replace("text", r"^(--|/\*)|\*/$", "").alias("inner_text"))
+
+
+# Files: a text for each nation, by n_nationkey % 5, written below the shared folder and scanned as a corpus.
+_NATION_TEXT = r"""CASE n_nationkey % 5
+ WHEN 0 THEN concat('SELECT 1 FROM T WHERE ACCT_ID = \'', n_nationkey, '\';')
+ WHEN 1 THEN concat('-- CTRT_NO IN (\'', n_nationkey, '\', \'9', n_nationkey, '\')\nSELECT 1 FROM T;')
+ WHEN 2 THEN '========' WHEN 3 THEN concat('SELECT 1 FROM A;\nUPDATE T SET ACCT_NM = \'', n_nationkey, '\';\nSELECT 2 FROM B;')
+ ELSE '## $$ @@ SELECT 1' END"""
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir; where that is unset, a temporary one that goes when Python ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = tempfile.mkdtemp(prefix="sqlquarry-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = "file://" + local
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _nation_files(spark: SparkSession, sf_dir: str) -> str:
+    out = _folder(spark)
+    spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS k", f"{_NATION_TEXT} AS value").write.partitionBy("k").text(out)
+    return out
+
+
+def _number(c: str):
+    return F.regexp_extract(c, r"/k=(\d+)/", 1).cast("int").alias("k")
+
+
+@_query("""SELECT n_nationkey::INT AS k, v.c AS column_name, v.o AS operator, replace(v.v, '<k>', n_nationkey::VARCHAR) AS value, v.line AS line, v.i AS in_comment FROM nation,
+(VALUES (0, 'ACCT_ID', '=', '''<k>''', 1, 'N'), (1, 'CTRT_NO', 'IN', '''<k>''', 1, 'Y'), (1, 'CTRT_NO', 'IN', '''9<k>''', 1, 'Y'), (3, 'ACCT_NM', '=', '''<k>''', 2, 'N')) v(t, c, o, v, line, i)
+WHERE n_nationkey % 5 = v.t""".replace("\'", "'"))
+def file_scan_findings(spark, sf_dir):
+    return scan(spark, _nation_files(spark, sf_dir)).findings().select(_number("file"), "column_name", "operator", "value", "line", "in_comment")
+
+
+@_query("SELECT n_nationkey::INT AS k, CASE n_nationkey % 5 WHEN 2 THEN 'repeated-char-run' ELSE 'lexer-error-ratio' END AS category FROM nation WHERE n_nationkey % 5 IN (2, 4)")
+def file_scan_bad_files(spark, sf_dir):
+    return scan(spark, _nation_files(spark, sf_dir)).bad_files().select(_number("path"), "category")
+
+
+@_query("SELECT n_nationkey::INT AS k FROM nation WHERE n_nationkey % 5 NOT IN (2, 4)")
+def file_scan_skips_bad_files(spark, sf_dir):
+    """Bad files of one run, written and read as a list, are not read by the next."""
+    root, listed = _nation_files(spark, sf_dir), _folder(spark)
+    sinks.write_tsv_folder(scan(spark, root).bad_files(), listed)
+    return sources.read_corpus(spark, root, exclude=sources.read_bad_files(spark, listed)).select(_number("path"))
+
+
+@_query("SELECT n_nationkey::INT AS k, n AS block_number, 2 AS total_blocks FROM nation, (VALUES (1), (2)) v(n) WHERE n_nationkey % 5 = 3")
+def file_split_manifest(spark, sf_dir):
+    """The split manifest of scanned files, written and read again; rows with odd numbers go."""
+    listed = _folder(spark)
+    plan = rewrite.split_plan(scan(spark, _nation_files(spark, sf_dir)).blocks()).drop("text")
+    odd = plan.withColumn("block_number", F.lit("x"))
+    sinks.write_tsv_folder(plan.withColumn("block_number", F.col("block_number").cast("string")).unionByName(odd), listed)
+    return sources.read_split_manifest(spark, listed).select(_number("original_file"), "block_number", "total_blocks")

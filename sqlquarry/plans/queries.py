@@ -108,6 +108,13 @@ _variant("detect_window_dq", r"""concat('SELECT 1 FROM T WHERE ACCT_ID = "', c_c
 _variant("blank_literal_filter", r"concat('SELECT 1 FROM T WHERE ACCT_ID IN (\'\', \'  \', \'', c_custkey, '\')')", f"SELECT {_F}, 'ACCT_ID' AS column_name, 'IN' AS operator, '''' || {_K} || '''' AS value FROM customer")
 
 
+@_query("SELECT 'ACCT_ID' AS column_name, 'IN' AS operator, i::VARCHAR AS value FROM range(1, 250001) AS t(i)")
+def detect_long_in(spark, sf_dir):
+    """One statement with a list of 250,000 literals: more than the budget of statement-level steps."""
+    df = spark.range(1).selectExpr("'long.sql' AS path", "concat('SELECT 1 FROM T WHERE ACCT_ID IN (', array_join(sequence(1, 250000), ','), ')') AS text")
+    return scan_table(sources.from_table(df, "path", "text"), ScanOptions()).findings().select("column_name", "operator", "value")
+
+
 @_query("SELECT word, count(*)::BIGINT AS n FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN '홍길동' WHEN 1 THEN '김영희' ELSE '서울' END AS word FROM customer) WHERE word <> '서울' GROUP BY 1")
 def name_candidates(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('q', c_custkey) AS path", r"concat('SELECT \'', CASE c_custkey % 3 WHEN 0 THEN '홍길동' WHEN 1 THEN '김영희' ELSE '서울' END, '\' FROM T') AS text")
@@ -157,8 +164,7 @@ def token_type_counts(spark, sf_dir):
 
 @_query("SELECT concat('q', c_custkey, '.sql') AS path, CASE WHEN c_custkey % 8 = 6 THEN 2 ELSE 1 END::BIGINT AS n_chunks FROM customer")
 def chunk_counts(spark, sf_dir):
-    rows = token_ops.chunked(token_ops.exploded(tokens(statements(spark, sf_dir))), ["path"])
-    return rows.groupBy("path").agg((F.max("chunk_id") + 1).cast("long").alias("n_chunks"))
+    return _scan(spark, sf_dir, ScanOptions()).stats().select("path", F.col("n_chunks").cast("long").alias("n_chunks"))
 
 
 @_query("""WITH s AS (SELECT user_id, event_id, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
@@ -174,20 +180,20 @@ def quality_gate(spark, sf_dir):
 
 
 @_query("""WITH c AS (SELECT doc_id, i, substr(text, i, 1) AS m FROM documents, unnest(range(1, length(text) + 1)) AS t(i)),
-p AS (SELECT doc_id, i, m FROM c WHERE m IN ('#', '$', '%', '&', '*', '!', '|', '.')),
+p AS (SELECT doc_id, i, m FROM c WHERE regexp_matches(m, '""" + token_ops.MARKS + """')),
 g AS (SELECT doc_id, m, i - row_number() OVER (PARTITION BY doc_id, m ORDER BY i) AS k FROM p)
 SELECT doc_id, max(n)::BIGINT AS longest_run FROM (SELECT doc_id, m, k, count(*) AS n FROM g GROUP BY ALL) GROUP BY 1""")
 def punct_run_islands(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    chars = docs.select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "mark")).where(F.col("mark").isin(*"#$%&*!|."))
-    return token_ops.longest_runs(chars, ["doc_id"])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", token_ops.longest_run(F.col("text")).cast("long").alias("longest_run")).where("longest_run IS NOT NULL")
 
 
-@_query("""SELECT doc_id, round_even((length(text) - length(regexp_replace(text, '[#$@?\\\\`]', '', 'g'))) / greatest(1, length(text)), 4) AS ratio FROM documents""")
-def doc_lexer_error_ratio(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    bad = F.length("text") - F.length(F.regexp_replace("text", r"[#$@?\\`]", ""))
-    return docs.select("doc_id", F.bround(bad / F.greatest(F.lit(1), F.length("text")), 4).alias("ratio"))
+# pieces: c_custkey % 10 marks that no token takes, a space, and five times A;
+@_query("""SELECT concat('q', c_custkey) AS path, 'lexer-error-ratio' AS category, repeat('#', (c_custkey % 10)::INT) AS item FROM customer
+WHERE c_custkey % 10 > 0.2 * (c_custkey % 10 + 11)""")
+def lexer_error_gate(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('q', c_custkey) AS path", "concat(repeat('#', CAST(c_custkey % 10 AS int)), ' ', repeat('A;', 5)) AS text")
+    return scan_table(sources.from_table(df, "path", "text"), ScanOptions()).bad_files().select("path", "category", "item")
 
 
 _S = "'(no-schema)'"
@@ -230,9 +236,9 @@ def function_calls(spark, sf_dir):
     return _scan(spark, sf_dir).functions()
 
 
-@_query(f"SELECT function, count(*)::BIGINT AS n FROM ({_CALLS}) WHERE function <> 'UPPER' GROUP BY 1")
+@_query(f"SELECT function, count(*)::BIGINT AS n FROM ({_CALLS})  GROUP BY 1")
 def predicate_ops(spark, sf_dir):
-    return function_calls(spark, sf_dir).where("function <> 'UPPER'").groupBy("function").agg(F.count("*").alias("n"))
+    return function_calls(spark, sf_dir).groupBy("function").agg(F.count("*").alias("n"))
 
 
 _EDGES = f"""SELECT {_F}, 1 AS line, s AS table_a_schema, 'TBACCT' AS table_a, {_S} AS table_b_schema, 'TBCTRT' AS table_b, j AS join_type, p AS predicate FROM customer, (VALUES
@@ -318,11 +324,11 @@ def similarity_diff(spark, sf_dir):
 
 
 @_query("""WITH s AS (SELECT l_orderkey AS id, list_distinct(list(l_partkey)) AS f FROM lineitem GROUP BY 1), e AS (SELECT id, len(f) AS n, unnest(f) AS x FROM s),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b USING (x) WHERE a.id < b.id AND a.n >= 2 AND b.n >= 2 GROUP BY 1, 2)
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b USING (x) WHERE a.id < b.id GROUP BY 1, 2)
 SELECT a, b, shared::INT AS shared, round_even(shared / (na + nb - shared), 3) AS similarity FROM p WHERE shared / (na + nb - shared) >= 0.3""")
 def jaccard_pairs(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("facts"))
-    both = identity.pairs_by_facts(li.where(F.size("facts") >= 2), 0.3)
+    both = identity.pairs_by_facts(li, 0.3)
     sim = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     return both.where(sim >= 0.3).select("a", "b", "shared", F.bround(sim, 3).alias("similarity"))
 
@@ -359,14 +365,16 @@ def grouped_values(spark, sf_dir):
     return o.select("o_custkey", sinks.shown_values(F.transform("v", lambda x: x.cast("string"))).alias("shown"))
 
 
-@_query("SELECT o_orderstatus, count(*)::BIGINT AS n FROM orders GROUP BY ROLLUP (o_orderstatus)")
+@_query(f"SELECT file, count(*)::BIGINT AS findings FROM ({_FINDINGS}) GROUP BY ROLLUP (file)")
 def totals_rollup(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").rollup("o_orderstatus").agg(F.count("*").alias("n"))
+    return sinks.totals(_scan(spark, sf_dir, ScanOptions()).findings())
 
 
-@_query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)")
+@_query("SELECT concat('d/q', c_custkey, '.sql') AS path FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)")
 def skip_list_anti_join(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").join(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    files = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('d/q', c_custkey, '.sql') AS path")
+    skip = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 = 0").selectExpr("concat('d/q', o_custkey, '.sql') AS path")
+    return sources.matching(files, exclude=skip)
 
 
 @_query("SELECT 'p' || c_custkey AS path, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'old' END AS category FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")

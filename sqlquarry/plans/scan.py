@@ -19,6 +19,10 @@ from ..schemas import SCANNED, TOKENS
 from ..sources.corpus import read_corpus
 
 
+#: Tokens after which a batch is handed on.
+TOKENS_HELD = 50_000
+
+
 def scanned(corpus: DataFrame, options: ScanOptions) -> DataFrame:
     """path, encoding and what scan_text finds, one row for each text. No shuffle; rows go to Python in small batches."""
     schema = f"path string, encoding string, {SCANNED}"
@@ -26,9 +30,14 @@ def scanned(corpus: DataFrame, options: ScanOptions) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            for lo in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist([{"path": r["path"], "encoding": r["encoding"]} | scan_text(r["text"] or "", options) for r in rows[lo : lo + 256]], arrow)
+            out, held = [], 0
+            for path, text, encoding in zip(*(batch.column(c).to_pylist() for c in ("path", "text", "encoding")), strict=True):
+                out.append({"path": path, "encoding": encoding} | scan_text(text or "", options))
+                held += out[-1]["n_tokens"]
+                if held >= TOKENS_HELD or len(out) == 256:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out, held = [], 0
+            yield pa.RecordBatch.from_pylist(out, arrow)
 
     return corpus.select("path", "text", "encoding").mapInArrow(run, schema)
 
@@ -40,10 +49,14 @@ def tokens(corpus: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 toks, errs = lex(t or "")
                 rows.append({"path": p, "tokens": [x._asdict() for x in toks], "errors": [x._asdict() for x in errs]})
+                held += len(toks)
+                if held >= TOKENS_HELD:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
     return corpus.select("path", "text").mapInArrow(run, schema)
@@ -100,7 +113,8 @@ class Scan:
         return self.rows.select("path", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("n", "text"))
 
     def stats(self) -> DataFrame:
-        return self.rows.select("path", "n_chunks", "n_tokens", F.size("blocks").alias("select_block_count"))
+        """n_partial: statements that were not read to their end (max_chunk_iterations)."""
+        return self.rows.select("path", "n_chunks", "n_tokens", "n_partial", F.size("blocks").alias("select_block_count"))
 
 
 def scan_table(corpus: DataFrame, options: ScanOptions = ScanOptions()) -> Scan:
@@ -108,6 +122,6 @@ def scan_table(corpus: DataFrame, options: ScanOptions = ScanOptions()) -> Scan:
     return Scan(scanned(corpus, options), options)
 
 
-def scan(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), exclude: tuple[str, ...] = ()) -> Scan:
+def scan(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), exclude: DataFrame | tuple[str, ...] = ()) -> Scan:
     """Scans the files below a folder."""
     return scan_table(read_corpus(spark, root, options, exclude), options)

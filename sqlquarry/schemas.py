@@ -16,7 +16,7 @@ def _nested(ddl: str) -> str:
 SCANNED = (
     f"bad struct<{_nested(BAD)}>, findings array<struct<{_nested(FINDING)}>>, names array<string>, tables array<struct<{_nested(TABLE_USE)}>>, "
     f"columns array<struct<{_nested(COLUMN_USE)}>>, functions array<struct<{_nested(FUNCTION_CALL)}>>, edges array<struct<{_nested(EDGE)}>>, "
-    f"identities array<struct<{_nested(IDENTITY)}>>, blocks array<string>, n_chunks int, n_tokens int"
+    f"identities array<struct<{_nested(IDENTITY)}>>, blocks array<string>, n_chunks int, n_tokens int, n_partial int"
 )
 TOKENS = "tokens array<struct<type: string, text: string, hidden: boolean, line: int, start: int, stop: int>>, errors array<struct<line: int, start: int, text: string>>"
 BAD_FILES = "path string, category string, item string, message string, quarantined_file string"

@@ -26,14 +26,17 @@ def _name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
-def matching(files: DataFrame, options: ScanOptions = ScanOptions(), exclude: Sequence[str] = (), skip_dirs: Sequence[str] = ()) -> DataFrame:
-    """Files (path, ...) with a configured suffix in any case, below no skipped folder, and not excluded."""
+def matching(files: DataFrame, options: ScanOptions = ScanOptions(), exclude: DataFrame | Sequence[str] = (), skip_dirs: Sequence[str] = ()) -> DataFrame:
+    """Files (path, ...) with a configured suffix in any case, below no skipped folder, and not excluded (paths, or a table of paths)."""
     ok = F.lit(False)
     for s in options.suffixes:
         ok = ok | F.endswith(F.lower(_name(F.col("path"))), F.lit(s))
     for d in skip_dirs:
         ok = ok & ~F.startswith("path", F.lit(d.rstrip("/") + "/"))
-    return files.where(ok & ~F.col("path").isin(list(exclude)) if exclude else ok)
+    kept = files.where(ok)
+    if isinstance(exclude, DataFrame):
+        return kept.join(exclude.select("path"), "path", "left_anti")
+    return kept.where(~F.col("path").isin(list(exclude))) if exclude else kept
 
 
 def without_stale_splits(files: DataFrame, siblings: DataFrame | None = None) -> DataFrame:
@@ -84,20 +87,42 @@ def decoded(files: DataFrame) -> DataFrame:
     return ok.select("path", plain.alias("text"), F.lit("utf-8-sig").alias("encoding")).unionByName(odd.mapInArrow(run, "path string, text string, encoding string"))
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, modificationTime, length, content of all files below root; content is read only where it is used."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def read_files(spark: SparkSession, root: str, suffixes: Sequence[str] = ()) -> DataFrame:
+    """path, modificationTime, length, content of all files below root (with one of the suffixes in any case); content is read
+    only where it is used."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    if suffixes:
+        any_case = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+        reader = reader.option("pathGlobFilter", "{" + ",".join("*" + any_case(s) for s in suffixes) + "}")
+    return reader.load(root)
 
 
-def read_corpus(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), exclude: Sequence[str] = (), skip_dirs: Sequence[str] = ("_quarantine",)) -> DataFrame:
-    """path, text, encoding of the files to scan. Names are settled before any content is read."""
-    files = read_files(spark, root)
-    skip = [d if "/" in d else f"{files.sparkSession._jvm.org.apache.hadoop.fs.Path(root).toString().rstrip('/')}/{d}" for d in skip_dirs]
-    names = files.select("path")
+#: So many paths are broadcast at most to choose the files to read; with more, contents are shuffled.
+MAX_PATHS = 200_000
+
+
+def chosen_files(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), exclude: DataFrame | Sequence[str] = (), skip_dirs: Sequence[str] = ("_quarantine",)) -> DataFrame:
+    """path of the files to scan, from names alone."""
+    names = read_files(spark, root).select("path")
+    top = spark._jvm.org.apache.hadoop.fs.Path(root).toString().rstrip("/")
     keep = deduped(without_stale_splits(matching(names, options, exclude), names), options.extensions)
-    for d in skip:
-        keep = keep.where(~F.contains("path", F.lit(d.rstrip("/") + "/")))
-    return decoded(files.join(keep, "path", "left_semi"))
+    for d in skip_dirs:
+        keep = keep.where(~F.contains("path", F.lit((d if "/" in d else f"{top}/{d}").rstrip("/") + "/")))
+    return keep
+
+
+def read_corpus(spark: SparkSession, root: str, options: ScanOptions = ScanOptions(), exclude: DataFrame | Sequence[str] = (), skip_dirs: Sequence[str] = ("_quarantine",)) -> DataFrame:
+    """path, text, encoding of the files to scan. Names are settled first, and only files with a suffix are opened; what can't
+    be read is left out (unreadable() has it)."""
+    keep = chosen_files(spark, root, options, exclude, skip_dirs)
+    files = read_files(spark, root, options.suffixes).select("path", "content")
+    return decoded(files.join(F.broadcast(keep) if keep.count() <= MAX_PATHS else keep, "path", "left_semi"))
+
+
+def unreadable(chosen: DataFrame, read: DataFrame) -> DataFrame:
+    """Bad files: chosen paths that no text was read from."""
+    row = {"category": "unreadable", "item": "", "message": "the file could not be read", "quarantined_file": ""}
+    return chosen.join(read.select("path"), "path", "left_anti").select("path", *[F.lit(v).alias(k) for k, v in row.items()])
 
 
 def from_table(df: DataFrame, path: str, text: str) -> DataFrame:

@@ -77,6 +77,26 @@ def test_masking(spark):
     assert (r["masked"], r["skipped_overlap"], r["skipped_unmaskable"]) == (1, 1, 2)
 
 
+def test_masking_keeps_mixed_line_ends(spark, tmp_path):
+    from sqlquarry.sources import effects
+
+    old = b"\xef\xbb\xbfSELECT 1\r\nFROM T\nWHERE ACCT_ID = '12'\rAND CTRT_NO IN ('3',\r\n'45') -- \xea\xb8\xb8\r\n"
+    (tmp_path / "m.sql").write_bytes(old)
+    texts = corpus.read_corpus(spark, str(tmp_path)).cache()
+    assert effects.write_masked(rewrite.masked(texts, scan_table(texts).findings()), texts) == 1
+    assert (tmp_path / "m.sql").read_bytes() == old.replace(b"'12'", b"'****'").replace(b"'3'", b"'****'").replace(b"'45'", b"'****'")
+
+
+def test_files_that_are_chosen_but_not_read(spark, tmp_path):
+    (tmp_path / "a.SQL").write_text("SELECT 1")
+    (tmp_path / "b.txt").write_text("SELECT 2")
+    (tmp_path / "c.md").write_text("no")
+    chosen = corpus.chosen_files(spark, str(tmp_path)).cache()
+    assert chosen.count() == 2 and corpus.unreadable(chosen, corpus.read_corpus(spark, str(tmp_path))).count() == 0
+    got = corpus.unreadable(chosen, corpus.read_corpus(spark, str(tmp_path)).where("path LIKE '%.txt'")).collect()
+    assert [(r["path"].rpartition("/")[2], r["category"]) for r in got] == [("a.SQL", "unreadable")]
+
+
 def test_split_and_unsplit(spark):
     df = table(spark, "SELECT 1 FROM A;\nSELECT 2 FROM B;", "SELECT 1;")
     plan = rewrite.split_plan(scan_table(df).blocks())

@@ -113,3 +113,30 @@ def test_functions():
 def test_no_text_crashes(text):
     bad = scan_text(text, ALL)["bad"]
     assert bad is None or bad["category"] != "crash"
+
+
+def test_long_lists_lose_nothing():
+    n = 210_000
+    r = scan_text("SELECT 1 FROM T WHERE ACCT_ID IN (" + ",".join(f"'{i}'" for i in range(n)) + ") AND CTRT_NO = '7'", ScanOptions())
+    assert r["bad"] is None and len(r["findings"]) == n + 1 and r["n_partial"] == 0
+    cut = scan_text("SELECT 1 FROM T WHERE " + "] } " * 50 + " ACCT_ID = '1'", ScanOptions(max_chunk_iterations=10))
+    assert cut["n_partial"] == 1  # said, and the window scan still finds the literal
+    assert [f["value"] for f in cut["findings"]] == ["'1'"]
+
+
+def test_deep_texts():
+    deep = 1500
+    r = scan_text("/*" * deep + " ACCT_ID = '5' " + "*/" * deep + "\nSELECT 1 FROM T WHERE ACCT_ID = '8'", ScanOptions())
+    assert [(f["line"], f["value"], f["in_comment"]) for f in r["findings"]] == [(1, "'5'", "Y"), (2, "'8'", "N")]
+    r = scan_text("SELECT 1 FROM T WHERE X = " + "(1 + " * deep + "2" + " )" * deep + " AND ACCT_ID = '8'", ScanOptions())
+    assert r["bad"] is None or r["bad"]["category"] == "repeated-char-run"
+    r = scan_text("SELECT 1 FROM T WHERE X IN " + "(SELECT Y FROM U WHERE ACCT_ID = '1' AND Y IN " * 400 + "('5') OR Z = 1 " + ") OR Z = 2 " * 400, ScanOptions())
+    assert r["bad"] is None and len(r["findings"]) == 400
+
+
+def test_long_dividers_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert scan_text("=" * 300_000, ScanOptions())["bad"]["category"] == "repeated-char-run"
+    assert time.perf_counter() - began < 20
