@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -74,10 +74,11 @@ def mark(spark: SparkSession) -> int:
     return len(_FOLDERS.get(spark.sparkContext.applicationId, []))
 
 
-def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
-    """Drops the folders that operators of this application have written (since a mark), when their results have been used."""
+def release(spark: SparkSession, since: int = 0, but: Sequence[DataFrame] = ()) -> None:
+    """Drops the folders that operators of this application have written (since a mark), when their results have been used;
+    those of the frames in `but` stay."""
     folders = _FOLDERS.get(spark.sparkContext.applicationId, [])
-    kept = {f.rstrip("/").rpartition("/")[0].rpartition("/")[2] for f in but.inputFiles()[:1]} if but is not None else set()
+    kept = {f.rstrip("/").rpartition("/")[0].rpartition("/")[2] for df in but for f in df.inputFiles()}
     for path in folders[since:]:
         if path.rpartition("/")[2] not in kept:
             _delete(spark, path)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, slices, spread_join, written
+from .common import salted_join, sized, slices, spread_join, written
 from .graph import components
 from .simhash import _FOLD
 
@@ -20,7 +20,11 @@ BANDS, ROWS = 25, 5
 #: average, and fewer than 75 with a probability of 2e-8.
 MARKS_EQUAL = 75
 #: Rows of one key that one task compares; a larger bucket is compared block by block in several tasks.
-BLOCK = 2048
+BLOCK = 512
+#: Bands whose buckets are compared first, as links found there leave less to compare in the others.
+FIRST_BANDS = 4
+#: Bytes of a group's table of sets as bits; a larger one is compared set by set.
+BITS_BYTES = 64 << 20
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 1 << 63, (BANDS, ROWS, 1), np.uint64)
 _ODD = _RNG.integers(0, 1 << 63, (BANDS, ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,7 +43,7 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def band_keys(h: np.ndarray) -> tuple[list[int], bytes]:
-    """A key for each band (its number with the smallest values of its mixed hashes), and a byte of each of those values."""
+    """A key for each band (of its number and the smallest values of its mixed hashes), and a byte of each of those values."""
     from xxhash import xxh64_intdigest
 
     if not len(h):
@@ -49,41 +53,101 @@ def band_keys(h: np.ndarray) -> tuple[list[int], bytes]:
     return keys, (low >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
-def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over rows (key, i, j, side, row, c, sig) sorted by (key, i, j): pairs of a group with different c and
-    enough equal marks, compared inside the task."""
-
-    def found(at: list[tuple], rows: list[tuple[int, int, int]], sigs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
-            return
-        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
-        side, row, c = np.array(rows, np.int64).T
-        split = at[1] != at[2]  # two blocks, else one with itself
-        for k in range(len(row)):
-            other = np.nonzero((c != c[k]) & ((side > side[k]) if split else (np.arange(len(row)) > k)))[0]
-            near = other[(sig[other] == sig[k]).sum(axis=1) >= MARKS_EQUAL]
-            if len(near):
-                a, b = np.minimum(row[k], row[near]), np.maximum(row[k], row[near])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    now, rows, sigs = None, [], []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows behind equal (key, i, j) in sorted batches."""
+    now, rows = None, []
     for batch in batches:
-        for key, i, j, side, row, c, sig in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for key, i, j, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             if (key, i, j) != now:
-                yield from found(now, rows, sigs)
-                now, rows, sigs = (key, i, j), [], []
-            rows.append((side, row, c))
-            sigs.append(sig)
-    yield from found(now, rows, sigs)
+                if rows:
+                    yield now, rows
+                now, rows = (key, i, j), []
+            rows.append(tuple(row))
+    if rows:
+        yield now, rows
+
+
+def _promising(at: tuple, band: np.ndarray, side: np.ndarray, c: np.ndarray, sig: np.ndarray, k: int) -> np.ndarray:
+    """The rows behind k (of two blocks, in the other one) with another c, enough equal marks, and no lower band in common,
+    which would have the pair too."""
+    other = np.nonzero((c != c[k]) & ((side > side[k]) if at[1] != at[2] else (np.arange(len(c)) > k)))[0]
+    equal = sig[other] == sig[k]
+    near = equal.sum(axis=1) >= MARKS_EQUAL
+    other, equal = other[near], equal[near]
+    lower = equal.reshape(len(other), BANDS, ROWS).all(axis=2)[:, : int(band[k])].any(axis=1)
+    return other[~lower]
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over sorted rows (key, i, j, side, band, row, c, sig): those with a pair that may be similar."""
+    for at, rows in _groups(batches):
+        side, band, row, c = np.array([r[:4] for r in rows], np.int64).T
+        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        some = np.zeros(len(rows), bool)
+        for k in range(len(rows)):
+            near = _promising(at, band, side, c, sig, k)
+            some[near] = True
+            some[k] |= len(near) > 0
+        if some.any():
+            n = int(some.sum())
+            fixed = [pa.array(np.full(n, x), t) for x, t in zip(at, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(side[some], pa.int32()), pa.array(band[some], pa.int32()), pa.array(row[some], pa.int64()), pa.array(c[some], pa.int64())], names=["key", "i", "j", "side", "band", "row", "c"])
+
+
+def _forest(similarity: float):
+    """For mapInArrow over sorted rows (key, i, j, side, band, row, c, sig, h): edges of similar pairs that join what all
+    similar pairs of a group join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, rows in _groups(batches):
+            side, band, row, c = np.array([r[:4] for r in rows], np.int64).T
+            sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+            sets = [np.frombuffer(r[5], "<u8") for r in rows]
+            size = np.array([len(h) for h in sets])
+            shared = _shared(sets)
+            label = c.copy()
+            left, right = [], []
+            for k in range(len(rows)):
+                near = _promising(at, band, side, label, sig, k)
+                near = near[np.minimum(size[near], size[k]) >= similarity * np.maximum(size[near], size[k])]
+                if len(near):
+                    both = shared(near, k)
+                    near = near[both >= similarity * (size[near] + size[k] - both)]
+                for o in near.tolist():
+                    if label[o] != label[k]:
+                        label[label == label[o]] = label[k]
+                        left.append(min(row[k], row[o]))
+                        right.append(max(row[k], row[o]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _shared(sets: list[np.ndarray]):
+    """A function of set numbers and a set number: how many values each of the former shares with the latter."""
+    sizes = [len(h) for h in sets]
+    values, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1  # values of one set only are shared by none
+    width = int(column[-1]) // 8 + 1 if len(values) else 1
+    if width * len(sets) > BITS_BYTES:
+        return lambda some, k: np.array([len(np.intersect1d(sets[o], sets[k], assume_unique=True)) for o in some.tolist()], np.int64)
+    bits = np.zeros((len(sets), width + -width % 8), np.uint8)
+    kept = count[index] > 1
+    where = column[index][kept]
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), sizes)[kept], where >> 3), (1 << (where & 7)).astype(np.uint8))
+    words = bits.view(np.uint64)
+    return lambda some, k: np.bitwise_count(words[some] & words[k]).sum(axis=1, dtype=np.int64)
 
 
 def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, candidates: DataFrame | None = None) -> DataFrame:
     """(row_col, component) for every row of docs, of which row_col is a unique long: the smallest such number reachable over
     pairs whose shingle sets have at least the Jaccard similarity.
 
-    Rows of equal sets (null and wordless texts among them) are one node. The first row of each key is verified with the
-    others of the key, and then only rows of a key that are not yet in one component, so that a class of many copies makes
-    few pairs. Pairs (a, b) of candidates are verified too. An empty table gives no rows; other columns are not carried.
+    Rows of equal sets (null and wordless texts among them) are one node. Pairs (a, b) of candidates, and the first row of each
+    key with the others of the key, are verified by a join. The rest of a key's pairs that are not yet in one component are
+    compared on their exact sets inside the tasks that get the key, so that only a forest of links leaves them. An empty table
+    gives no rows; other columns are not carried.
     """
     from xxhash import xxh3_128_digest
 
@@ -106,19 +170,21 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
     first = written(marks.groupBy("same").agg(F.min(F.struct("row", "keys", "sig")).alias("f"), F.count("*").alias("n")).select("same", "f.row", "f.keys", "f.sig", "n"))
     twins = spread_join(marks.select("same", "row"), first.where("n > 1").select("same", F.col("row").alias("b"), "n"), "same", "n", total)
     twins = twins.where("row <> b").select(F.col("row").alias("a"), "b")
-    keyed = first.select("row", F.explode("keys").alias("key"))
+    keyed = first.select("row", F.posexplode("keys").alias("band", "key"))
     shared = written(keyed.groupBy("key").agg(F.min("row").alias("low"), F.count("*").alias("n")).where("n > 1"))
     keyed = written(spread_join(keyed, shared, "key", "n", total))
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                h = [shingles(t, shingle).astype("<u8").tobytes() for t in part.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(h, pa.binary())], names=["row", "h"])
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        return written(texts.join(sized(written(rows.distinct())), "row", "left_semi").mapInArrow(sets, "row long, h binary"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.distinct())
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "t"):
-                    h = [shingles(t, shingle).astype("<u8").tobytes() for t in part.column("t").to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(h, pa.binary())], names=["row", "h"])
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -129,7 +195,7 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
                     ok.append(both >= similarity * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        of = written(texts.join(wanted, "row", "left_semi").mapInArrow(sets, "row long, h binary"))
+        of = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("row")))
         full = salted_join(pairs, of.select(F.col("row").alias("b"), F.col("h").alias("y")), "b", pairs)
         full = salted_join(full, of.select(F.col("row").alias("a"), F.col("h").alias("x")), "a", pairs)
         return written(full.select("a", "b", "x", "y").mapInArrow(close, "a long, b long"))
@@ -139,14 +205,26 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
         other = candidates.where("a <> b").join(first.select(F.col("row").alias("a")), "a", "left_semi")
         stars = stars.unionByName(other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     edges = verified(stars)
-    found = components(edges).withColumnRenamed("node", "row")
-    known = written(keyed.join(found, "row", "left").select("key", "row", F.coalesce("component", "row").alias("c"), "low"))
-    apart = known.where("row <> low").groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 <> c2")
-    apart = written(apart.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), "n"))
-    parts = spread_join(known.where("row <> low"), apart, "key", "n", total).select("key", "row", "c", "nb", F.pmod(F.xxhash64("row"), F.col("nb")).cast("int").alias("blk"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    parts = parts.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "row", "c")
-    parts = parts.join(first.select("row", "sig"), "row").select("key", "i", "j", "side", "row", "c", "sig")
-    more = verified(parts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_in_buckets, "a long, b long"))
-    groups = components(written(edges.unionByName(more).unionByName(twins))).withColumnRenamed("node", "row")
+
+    def apart(edges: DataFrame, bands) -> DataFrame:
+        """More edges: in the buckets of some bands, between rows that the edges so far leave apart."""
+        found = components(edges).withColumnRenamed("node", "row")
+        known = keyed.where(bands).join(found, "row", "left").select("key", "band", "row", F.coalesce("component", "row").alias("c"))
+        known = written(known)
+        mixed = known.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n")).where("c1 <> c2")
+        mixed = written(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), "n"))
+        parts = spread_join(known, mixed, "key", "n", total).withColumn("blk", F.pmod(F.xxhash64("row"), F.col("nb")).cast("int"))
+        parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        parts = parts.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), F.col("band").cast("int").alias("band"), "row", "c")
+        dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row")
+        sig = first.select("row", "sig")
+        order = ["key", "i", "j", "side", "band", "row", "c", "sig"]
+        hopeful = dealt(parts.join(sig, "row").select(*order)).mapInArrow(_hopeful, "key long, i int, j int, side int, band int, row long, c long")
+        hopeful = written(hopeful)
+        full = hopeful.join(sig.join(sets_of(hopeful.select("row")), "row"), "row").select(*order, "h")
+        return written(edges.unionByName(dealt(full).mapInArrow(_forest(similarity), "a long, b long")))
+
+    edges = apart(edges, F.col("band") < FIRST_BANDS)
+    edges = apart(edges, F.col("band") >= FIRST_BANDS)
+    groups = components(written(edges.unionByName(twins))).withColumnRenamed("node", "row")
     return marks.select("row").join(groups, "row", "left").select(F.col("row").alias(row_col), F.coalesce("component", "row").alias("component"))

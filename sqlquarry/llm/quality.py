@@ -107,13 +107,15 @@ def fit_scorer(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, e
     w, g = np.zeros(DIMS + 1), np.full(DIMS + 1, 1e-2)
     if not rows:
         return w
-    df = Counter(f for r in rows for f in r[marks:].tolist())
-    usable = np.zeros(DIMS, bool)
-    usable[[f for f, n in df.items() if n >= min(5, max(2, len(rows) // 50))]] = True
-    value = [np.concatenate((np.ones(marks), np.where(usable[r[marks:]], max(1.0, len(r) - marks) ** -0.5, 0.0))) for r in rows]
     sizes = np.array([len(r) for r in rows])
-    flat, share = np.concatenate(rows), np.concatenate(value)
+    flat = np.concatenate(rows).astype(np.int32)
     begin = np.cumsum(sizes) - sizes
+    word = np.ones(len(flat), bool)
+    word[(begin[:, None] + np.arange(marks)).ravel()] = False
+    usable = np.bincount(flat[word], minlength=DIMS) >= min(5, max(2, len(rows) // 50))
+    share = np.repeat(np.maximum(1.0, sizes - marks) ** -0.5, sizes)
+    share[~word] = 1.0
+    share[word] *= usable[flat[word]]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -210,9 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             codes.append(sum(x * 3**j for j, x in enumerate((*v, lv))))
         return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(feats, pa.list_(pa.int32())), pa.array(codes, pa.int32())], names=["_id", "f", "code"])
 
-    got = sample.withColumn("vote", label_vote).mapInArrow(map_slices(features, "_text"), "_id string, f array<int>, code int").toPandas().sort_values("_id")
-    rows = [np.asarray(f, np.int64) for f in got["f"]]
-    target = np.array([of.get(int(c), prior) for c in got["code"]])
+    got = sample.withColumn("vote", label_vote).mapInArrow(map_slices(features, "_text"), "_id string, f array<int>, code int").toArrow().sort_by("_id")
+    rows = [f.values.to_numpy() for f in got.column("f")]  # at most sample_rows
+    target = np.array([of.get(c, prior) for c in got.column("code").to_pylist()])
     weights = fit_scorer(rows, target, np.abs(2 * target - 1))  # unsure rows teach little
     removed(spark, drawn)
     accuracies = {n: float(theta[j, 1, REJECT] * prior + theta[j, 0, KEEP] * (1 - prior)) for j, n in enumerate(LABELLERS)} if len(codes) else {}

@@ -589,6 +589,33 @@ def test_near_dedup_of_edited_copies(spark, tmp_path):
     assert near_copies.similar_groups(docs(spark, []), "doc_id").count() == 0
 
 
+def test_near_copies_around_one_text(spark):
+    """Copies that are near to one text, which is not the first, but not to one another; in blocks of any size."""
+    from sqlquarry.llm import near_copies
+
+    random.seed(12)
+    base = ["w%d" % random.randrange(3000) for _ in range(200)]
+    texts = []
+    for k in range(40):
+        w = list(base)
+        for at in random.sample(range(5, 190, 8), 3):
+            w[at] = "edit%d" % k
+        texts.append(" ".join(w))
+    far = [" ".join(base[:110] + ["z%d" % random.randrange(3000) for _ in range(90)]) for _ in range(30)]  # share a passage only
+    every = [*texts, *far, " ".join(base), None, "", "a b"]
+    sets = [set(near_copies.shingles(t).tolist()) for t in every]
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(like(k, 70) for k in range(40)) and sum(like(0, k) for k in range(1, 40)) < 5
+    want = {k: 0 if k < 40 or k == 70 else 71 if k in (71, 72) else k for k in range(len(every))}
+    old = near_copies.BLOCK
+    try:
+        for near_copies.BLOCK in (old, 7):
+            got = {r["doc_id"]: r["component"] for r in near_copies.similar_groups(docs(spark, every), "doc_id").collect()}
+            assert got == want
+    finally:
+        near_copies.BLOCK = old
+
+
 def test_near_dedup_drops_only_copies(spark):
     p = pytest.importorskip("corpus_pipeline")
 
