@@ -37,7 +37,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     are one group. Candidates are SimHash links over five-word shingles and pairs that share a banded MinHash key, as 4 of 64
     bits alone miss most edited copies.
     """
-    hidden, names = _hidden(docs)
+    before, (hidden, names) = mark(spark), _hidden(docs)
     rows = written(hidden.withColumn("_row", F.monotonically_increasing_id()))
     text, doc_id = names["text"], names["doc_id"]
     linked = simhash.near_duplicates(rows.select("_row", text), "_row", text, shingle=near_copies.SHINGLE).select(F.col("_row").alias("a"), F.col("component_id").alias("b"))
@@ -45,6 +45,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = written(rows.select("_row", doc_id).join(groups, "_row"))
     kept = named.groupBy("component").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), doc_id, "_row")).alias("first")).select("first._row")
     gone = written(named.join(kept, "_row", "left_anti").select("_row"))
+    release(spark, before, but=[rows, gone])
     return _shown(rows.join(sized(gone), "_row", "left_anti"), names)
 
 
@@ -84,5 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES[:-1]:
         before = mark(spark)
         docs = written(stage(spark, docs, sf_dir))
-        release(spark, before, but=docs)
+        release(spark, before, but=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)
