@@ -241,7 +241,7 @@ def scan_text(text: str, options: ScanOptions) -> dict:
         tokens, errors = lex(text)
         bad = quality(tokens, errors)
         if bad:
-            return empty | {"bad": {"category": bad[0], "item": bad[1], "message": bad[2]}, "n_tokens": len(tokens)}
+            return empty | {"bad": {"category": bad[0], "item": bad[1], "message": bad[2]}, "n_chunks": len(chunks(tokens)), "n_tokens": len(tokens)}
         return empty | _scan(text, tokens, options)
     except Exception as e:  # noqa: BLE001  one text must not stop the rest
         return empty | {"bad": {"category": "crash", "item": type(e).__name__, "message": f"crashed while scanning: {type(e).__name__}: {e}"}}
