@@ -14,7 +14,7 @@ from ..operators import identity, rewrite, sinks
 from ..operators import tokens as token_ops
 from ..options import ScanOptions
 from ..sources import corpus as sources
-from .queries import _CALLS, _FACTS, _FINDINGS, ALL, _query, _scan
+from .queries import _CALLS, _core, _FACTS, _FINDINGS, ALL, _query, _scan
 from .scan import Scan, scan, scan_table, tokens
 
 # ¤ is a quote inside a text, § the customer's key
@@ -239,3 +239,21 @@ def file_split_manifest(spark, sf_dir):
     odd = plan.withColumn("block_number", F.lit("x"))
     sinks.write_tsv_folder(plan.withColumn("block_number", F.col("block_number").cast("string")).unionByName(odd), listed)
     return sources.read_split_manifest(spark, listed).select(_number("original_file"), "block_number", "total_blocks")
+
+
+# A statement for each part over tables TA0..99 and TB0..49: up to 5,000 structures, of which many are alike.
+_PART_FACTS = """SELECT core_id, f FROM (SELECT *, row_number() OVER (PARTITION BY core_id ORDER BY file, f) AS r FROM (
+ SELECT concat('s', p_partkey, '.sql') AS file, f, """ + _core("structure") + """ AS core_id FROM (
+ SELECT p_partkey, ['TBL|(no-schema)|TA' || p_partkey % 100, 'TBL|(no-schema)|TB' || p_partkey // 100 % 50, 'JOINTYPE|INNER=1', 'REL|=|TA' || p_partkey % 100 || '.K|TB' || p_partkey // 100 % 50 || '.K',
+  'PRED|TA' || p_partkey % 100 || '.F' || p_partkey % 7 || '|=', 'SHAPE|BLOCKS=1'] AS f FROM part))) WHERE r = 1"""
+
+
+@_query(f"""WITH s AS ({_PART_FACTS}), e AS (SELECT core_id, unnest(f) AS x FROM s),
+p AS (SELECT a.core_id AS core_id_a, b.core_id AS core_id_b, count(*) AS n FROM e a JOIN e b USING (x) WHERE a.core_id < b.core_id GROUP BY 1, 2)
+SELECT core_id_a, core_id_b, round_even(n / (12 - n), 3) AS similarity, n::INT AS shared_facts FROM p WHERE n / (12 - n) >= 0.5""")
+def similarity_many_ids(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "concat('s', p_partkey, '.sql') AS path",
+        "concat('SELECT 1 FROM TA', p_partkey % 100, ' X JOIN TB', CAST(floor(p_partkey / 100) AS bigint) % 50, ' Y ON X.K = Y.K WHERE X.F', p_partkey % 7, ' = 1;') AS text",
+    )
+    return scan_table(sources.from_table(rows, "path", "text").repartition(spark.sparkContext.defaultParallelism), ALL).similarity().select("core_id_a", "core_id_b", "similarity", "shared_facts")

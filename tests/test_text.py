@@ -140,3 +140,18 @@ def test_long_dividers_take_linear_time():
     began = time.perf_counter()
     assert scan_text("=" * 300_000, ScanOptions())["bad"]["category"] == "repeated-char-run"
     assert time.perf_counter() - began < 20
+
+
+def test_merge_and_definitions():
+    on = ScanOptions.metadata()
+    r = scan_text("MERGE INTO S1.TBACCT A USING (SELECT ACCT_ID, NM FROM STG) B ON A.ACCT_ID = B.ACCT_ID WHEN MATCHED AND A.ST = '9' THEN UPDATE SET A.ACCT_NM = '12' WHEN NOT MATCHED THEN INSERT (ACCT_ID) VALUES (B.ACCT_ID);", on)
+    assert [(t["schema"], t["table"]) for t in r["tables"]] == [("S1", "TBACCT"), ("(no-schema)", "STG")]
+    assert [(f["column_name"], f["value"]) for f in r["findings"]] == [("ACCT_NM", "'12'")]
+    assert "B" not in {c["column"] for c in r["columns"]} and ("TBACCT", "ST") in {(c["table"], c["column"]) for c in r["columns"]}
+    for text in ("CREATE TABLE S1.T1 (ACCT_ID CHAR(10) NOT NULL, AMT DECIMAL(15,2), PRIMARY KEY (ACCT_ID)) IN TS1;", "ALTER TABLE T1 ADD COLUMN X INT;", "GRANT SELECT ON T1 TO U;", "DROP VIEW V1;", "CREATE INDEX I1 ON T1 (A, B);"):
+        r = scan_text(text, on)
+        assert r["columns"] == r["functions"] == r["identities"] == [], text
+    r = scan_text("CREATE VIEW V1 AS SELECT A.X FROM T1 A JOIN T2 B ON A.K = B.K WHERE A.ACCT_ID = '5';", on)
+    assert {c["column"] for c in r["columns"]} == {"X", "K", "ACCT_ID"} and len(r["edges"]) == len(r["findings"]) == len(r["identities"]) == 1
+    r = scan_text("CREATE TABLE T (A INT CHECK (ACCT_ID = '7'));", on)
+    assert [f["value"] for f in r["findings"]] == ["'7'"]
