@@ -3,7 +3,8 @@
 64 bits are cut into five segments on a ring. If two fingerprints differ in at most 4 bits, some start on the ring has
 every chain of l consecutive segments from it differing in at most floor(4 l / 5) bits (the strong pigeonring principle):
 none in the first segment, at most 1 in the first two, 2 in three, 3 in four, 4 in all. The first two conditions make the
-index key: the start segment and one half of the next (with at most one bit off, one half is equal). The further chains are
+index key: the start segment and the next but for one of its parts (with at most one bit off, the others are equal). There are
+two parts, or more for very many fingerprints, as keys are longer then and their buckets stay small. The further chains are
 checked before the full distance.
 """
 
@@ -23,6 +24,8 @@ BITS, SEGMENTS, DISTANCE, SHINGLE = 64, 5, 4, 4
 WIDTHS = (13, 13, 13, 13, 12)
 #: Rows of one key that one task compares; a larger bucket is compared block by block in several tasks.
 BLOCK = 2048
+#: Parts of the next segment, and rows of a bucket on average from which the next larger number is taken.
+PARTS, BUCKET = (2, 3, 4, 6, 12), 256
 #: So many oversized keys are broadcast at most; more are joined by a shuffle.
 MAX_HOT = 100_000
 
@@ -66,16 +69,24 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
     return base.mapInArrow(run, schema)
 
 
-def _keys() -> list:
-    """Index keys of a fingerprint: for each start segment i and each half of the next, a long with i, the half's number, the segment and the half."""
+def parts_for(fingerprints: int) -> int:
+    """Into how many parts the next segment is cut: 10 keys of 18 bits a fingerprint up to 6e7 of them, 60 of 23 bits from 1e9 on."""
+    fits = [p for p in PARTS if fingerprints <= BUCKET * 2 ** (12 + 12 * (p - 1) / p)]
+    return fits[0] if fits else PARTS[-1]
+
+
+def _keys(parts: int = PARTS[0]) -> list:
+    """Index keys of a fingerprint: for each start segment and each part of the next that may differ, a long with their
+    number, the segment, and the next one without the part."""
     out = []
     for i in range(SEGMENTS):
         j = (i + 1) % SEGMENTS
         segment = F.shiftrightunsigned("fp", _SHIFTS[i]).bitwiseAND(F.lit((1 << WIDTHS[i]) - 1))
-        half = WIDTHS[j] // 2
-        for part, (at, width) in enumerate(((_SHIFTS[j], half), (_SHIFTS[j] + half, WIDTHS[j] - half))):
-            bits = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-            out.append(F.shiftleft(F.lit(2 * i + part).cast("long"), 40).bitwiseOR(F.shiftleft(segment, 16)).bitwiseOR(bits))
+        cuts = [WIDTHS[j] * k // parts for k in range(parts + 1)]
+        for part, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            rest = ((1 << WIDTHS[j]) - 1) & ~((1 << hi) - (1 << lo))
+            bits = F.shiftrightunsigned("fp", _SHIFTS[j]).bitwiseAND(F.lit(rest))
+            out.append(F.shiftleft(F.lit(parts * i + part).cast("long"), 40).bitwiseOR(F.shiftleft(segment, 16)).bitwiseOR(bits))
     return out
 
 
@@ -159,16 +170,16 @@ def _linked(distance: int):
     return run
 
 
-def near_edges(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def near_edges(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS[0]) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (fp) that connect exactly what pairs within the distance connect.
 
-    Ten key rows for each fingerprint are grouped by key and compared inside the task, vectorised over all its buckets, so
+    Five key rows a part for each fingerprint are grouped by key and compared inside the task, vectorised over all its buckets, so
     candidate pairs never become rows; only a spanning forest leaves. A bucket over BLOCK rows is cut into blocks by a hash
     of the fingerprint, and each pair of blocks is one group that may go to any task.
     """
     if distance != DISTANCE:
         raise ValueError("the segments are laid out for a distance of 4")
-    keyed = fps.select("fp", F.explode(F.array(*_keys())).alias("key"))
+    keyed = fps.select("fp", F.explode(F.array(*_keys(parts))).alias("key"))
     hot = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("nb"))
     hot = written(hot)
     small = F.broadcast(hot) if hot.count() <= MAX_HOT else hot
@@ -191,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marks = written(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")), "text", shingle))
     fps = written(marks.groupBy("fp").agg(F.min("_id").alias("low"), F.count("*").alias("n")))
-    links = components(near_edges(fps.select("fp"), distance)).withColumnRenamed("node", "fp")
+    links = components(near_edges(fps.select("fp"), distance, parts_for(fps.count()))).withColumnRenamed("node", "fp")
     grouped = written(fps.join(links, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     low = written(grouped.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("n_members"), F.count("*").alias("k")))
     classes = written(spread_join(grouped.select("fp", "component", "n"), low, "component", "k", grouped.count()).select("fp", "component_id", "n_members", "n"))

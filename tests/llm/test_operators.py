@@ -168,6 +168,13 @@ def test_simhash(spark):
         assert by_id(simhash.near_duplicates(docs(spark, texts)), "fingerprint", "component_id") == want
     finally:
         simhash.BLOCK = old
+    old, simhash.BUCKET = simhash.BUCKET, 1e-6  # as for very many fingerprints
+    try:
+        assert simhash.parts_for(10) == simhash.PARTS[-1]
+        assert by_id(simhash.near_duplicates(docs(spark, texts)), "fingerprint", "component_id") == want
+    finally:
+        simhash.BUCKET = old
+    assert [simhash.parts_for(10**k) for k in (5, 8, 9, 11)] == [2, 3, 6, 12]
     x = np.array([sum(1 << int(b) for b in np.random.default_rng(k).choice(64, k % 5, replace=False)) for k in range(3000)], np.uint64)
     assert simhash.pigeonring_ok(x).all()
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
