@@ -105,7 +105,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     new = spark.createDataFrame(rows, "path string, category string, item string, message string, quarantined_file string")
     sinks.write_tsv(rewrite.merged_bad_files(previous, new) if previous is not None else new, at("bad_files.tsv"), ("path",))
     similar = result.similarity().cache() if a.query_similarity else None
-    sinks.write_summary(result, at("summary.md"), {"root": a.root, "files": str(result.rows.count())}, similar)
+    sinks.write_summary(result, at("summary.md"), {"files": str(result.rows.count()), **{k: " ".join(v) if isinstance(v, list) else str(v) for k, v in vars(a).items()}}, similar)
     found = sinks.write_tsv(sinks.findings_table(result.findings()), at("findings.tsv"), ("directory", "file_name", "line"))
     sinks.write_strings(result.name_counts(), at("strings.txt"))
     if on:

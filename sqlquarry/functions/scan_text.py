@@ -274,7 +274,7 @@ def _scan(text: str, tokens: list[Token], options: ScanOptions) -> dict:
     spans = [(t.start, t.stop) for t in tokens if t.type in ("LINE_COMMENT", "SQL_COMMENT")]
     starts = [a for a, _ in spans]
     hits += _comment_findings(tokens, options, columns)
-    lines = text.split("\n")
+    lines = text.splitlines()
 
     def in_comment(at: int) -> bool:
         k = bisect_right(starts, at) - 1

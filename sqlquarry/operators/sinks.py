@@ -67,7 +67,7 @@ def findings_table(findings: DataFrame) -> DataFrame:
 def write_strings(counts: DataFrame, path: str) -> None:
     """Name candidates with their counts; most frequent first."""
     head = ["# Quoted names that no list has.", "# Move a name to known_names.txt to report it,", "# or to stopwords.txt to ignore it.", "#"]
-    with open(path, "w", encoding="utf-8") as f:
+    with open(path, "w", encoding="utf-8-sig") as f:
         f.write("\n".join(head) + "\n")
         for word, n in counts.select("word", "n").toLocalIterator():
             f.write(f"{word}   # {n} occurrence(s)\n")
@@ -102,7 +102,9 @@ def write_summary(scan, path: str, info: dict[str, str], similarity: DataFrame |
     """summary.md: run, identities, relations, functions, references, strings, bad files, lists, blocks, findings."""
     o, parts = scan.options, ["# Summary", "", "## Run", ""] + [f"- {k}: {v}" for k, v in info.items()] + [""]
     if o.extract_query_identity:
-        parts += _table("Query Identity", scan.clusters(None))
+        ids = scan.clusters(None)
+        n, of = ids.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        parts += [*_table("Query Identity", ids), f"{of} statements have {n} identities.", ""]
         if similarity is not None:
             parts += _table("Query Similarity", similarity.select("core_id_a", "core_id_b", "similarity", "shared_facts"))
     if o.extract_relations:
@@ -117,10 +119,12 @@ def write_summary(scan, path: str, info: dict[str, str], similarity: DataFrame |
     parts += _table("Bad Files", scan.bad_files().select("path", "category", "item", "message").orderBy("path"))
     parts += ["## Stopwords", "", str(len(o.stopwords)), "", "## Known Names", "", str(len(o.known_names)), ""]
     if o.split_selects:
-        parts += _table("Select Blocks", scan.stats().where("select_block_count > 1").select("path", "select_block_count").orderBy("path"))
+        blocks = scan.stats().where("select_block_count > 0").select("path", "select_block_count")
+        total, split = blocks.agg(F.coalesce(F.sum("select_block_count"), F.lit(0)), F.count(F.when(F.col("select_block_count") > 1, 1))).first()
+        parts += [*_table("Select Blocks", blocks.orderBy("path")), f"{total} blocks in all; {split} files have several.", ""]
     found = scan.findings()
     parts += _table("Sensitive Findings", totals(found).orderBy(F.col("file").isNotNull(), F.desc("findings"), "file"), DETAIL)
     detail = first_per_file(found.groupBy("file", "line", "column_name", "operator").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_offset", "value"))), lambda x: x["value"]).alias("v")))
     parts += _table("Details", detail.select("file", "line", "column_name", "operator", shown_values(F.col("v")).alias("values")).orderBy("file", "line"), 10 * DETAIL)
-    with open(path, "w", encoding="utf-8") as f:
+    with open(path, "w", encoding="utf-8-sig") as f:
         f.write("\n".join(parts))

@@ -132,7 +132,7 @@ def from_table(df: DataFrame, path: str, text: str) -> DataFrame:
 
 def word_list(lines: DataFrame, column: str = "value") -> DataFrame:
     """word: trimmed, without what follows #, blank lines dropped, distinct."""
-    word = F.trim(F.regexp_extract(column, "^([^#]*)", 1))
+    word = F.trim(F.regexp_extract(column, "^\ufeff?([^#]*)", 1))
     return lines.select(word.alias("word")).where("word <> ''").distinct()
 
 

@@ -62,7 +62,7 @@ def test_sources(spark):
     assert corpus.decode("길동".encode("cp949")) == ("길동", "cp949") and corpus.decode(b"\xef\xbb\xbfa\r\nb") == ("a\nb", "utf-8-sig")
     files = spark.createDataFrame([("a", bytearray(b"\xef\xbb\xbfx\r\ny")), ("b", bytearray("길동".encode("cp949")))], "path string, content binary")
     assert rows(corpus.decoded(files)) == [("a", "x\ny", "utf-8-sig"), ("b", "길동", "cp949")]
-    assert rows(corpus.word_list(spark.createDataFrame([("a # b",), (" # c",), ("a",), ("",)], "value string"))) == [("a",)]
+    assert rows(corpus.word_list(spark.createDataFrame([("a # b",), (" # c",), ("a",), ("",), ("\ufeff# d",)], "value string"))) == [("a",)]
 
 
 def test_masking(spark):
@@ -129,7 +129,12 @@ def test_command_line(spark, tmp_path):
     assert lines[0].split("\t")[:4] == ["severity", "in_comment", "directory", "file_name"] and len(lines) == 2
     assert (root / "_quarantine/excluded/note.md").exists() and (root / "_quarantine/bad_files/bad.sql").exists()
     assert {p.name for p in root.glob("*.sql")} == {"a-01.sql", "a-02.sql"}
-    assert "Sensitive Findings" in (out / "summary.md").read_text()
+    summary = (out / "summary.md").read_text(encoding="utf-8-sig")
+    titles = [x.removeprefix("## ") for x in summary.splitlines() if x.startswith("## ")]
+    assert titles == ["Run", "Query Identity", "Query Similarity", "Relations", "Functions", "Table References", "Column References", "String Occurrences", "Bad Files", "Stopwords", "Known Names", "Select Blocks", "Sensitive Findings", "Details"]
+    assert "- max_chunk_iterations: 200000" in summary and "2 statements have 2 identities." in summary and "2 blocks in all; 1 files have several." in summary
+    assert (out / "strings.txt").read_text(encoding="utf-8-sig").startswith("#") and (out / "stopwords.txt").exists()
+    assert "bad.sql" in (out / "bad_files.tsv").read_text(encoding="utf-8-sig") and len((out / "split_manifest.tsv").read_text(encoding="utf-8-sig").splitlines()) == 3
     assert main([str(tmp_path / "none")], spark, str(out)) == 2
     answers = iter(["r", "", "", "y"] + [""] * 8)
     assert wizard(lambda _: next(answers)) == ["r", "--verbose"]
