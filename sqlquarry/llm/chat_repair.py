@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidy, written
 
 ROLES = ("system", "user", "assistant")
 START, SYS, USER, ASST = range(4)
@@ -191,7 +191,7 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
             yield pa.RecordBatch.from_pylist(out, arrow)
 
     short = base.join(side, "_c", "left_anti").repartition("_c").sortWithinPartitions(*order)
-    result = short.mapInArrow(whole, out_schema)
+    result = short.mapInArrow(tidy(whole), out_schema)
     if not many:
         return result
 
@@ -216,7 +216,7 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p] * len(ks), pa.int32()), pa.array(ks, pa.int32()), pa.array(is_, pa.int32())], names=[*batch.schema.names, "_p", "_k", "_i"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    cut = written(dealt.mapInArrow(numbered, f"{fields}, _p int, _k int, _i int").drop("_tie"))
+    cut = written(dealt.mapInArrow(tidy(numbered), f"{fields}, _p int, _k int, _i int").drop("_tie"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -244,8 +244,8 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
             yield pa.RecordBatch.from_arrays([pa.array([s["_p"] for s in segs], pa.int32()), pa.array([s["_k"] for s in segs], pa.int32()), pa.array(ends[:-1], pa.int32()), pa.array(ends[1:], pa.int32()), pa.array([k == 0 for k in range(n)]), pa.array([k == n - 1 for k in range(n)]), pa.array([total] * n, pa.int64())], names=["_p", "_k", "entry", "exit", "opening", "closing", "total"])
 
     by_segment = cut.repartition("_p", "_k").sortWithinPartitions("_c", "_p", "_k", "_i")
-    segs = by_segment.select("_c", "_p", "_k", "role").mapInArrow(matrices, "_c long, _p int, _k int, m array<long>").repartition("_c").sortWithinPartitions("_c", "_p", "_k")
-    segs = written(segs.mapInArrow(chosen, "_p int, _k int, entry int, exit int, opening boolean, closing boolean, total long"))
+    segs = by_segment.select("_c", "_p", "_k", "role").mapInArrow(tidy(matrices), "_c long, _p int, _k int, m array<long>").repartition("_c").sortWithinPartitions("_c", "_p", "_k")
+    segs = written(segs.mapInArrow(tidy(chosen), "_p int, _k int, entry int, exit int, opening boolean, closing boolean, total long"))
 
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batches, ("_p", "_k"), None):
@@ -255,7 +255,7 @@ def repair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
             yield pa.RecordBatch.from_pylist(_rows(group, s["total"], plan, last, pieces([r["text"] for r in group], plan, last, s["opening"], s["closing"])), arrow)
 
     ready = cut.join(segs, ["_p", "_k"]).repartition("_p", "_k").sortWithinPartitions("_c", "_p", "_k", "_i")
-    return result.unionByName(ready.mapInArrow(segmented, out_schema))
+    return result.unionByName(ready.mapInArrow(tidy(segmented), out_schema))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 WINDOW = 10
 SAMPLE = 8
@@ -325,7 +325,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             cols["spans"] = pa.array(hits[2], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def _merged(spans: list[int]) -> list[int]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, sized, slices, spread_join, written
+from .common import salted_join, sized, slices, spread_join, tidy, written
 from .graph import components
 from .simhash import _FOLD
 
@@ -57,12 +57,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
     """Rows behind equal (key, i, j) in sorted batches."""
     now, rows = None, []
     for batch in batches:
-        for key, i, j, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if (key, i, j) != now:
-                if rows:
-                    yield now, rows
-                now, rows = (key, i, j), []
-            rows.append(tuple(row))
+        for lo in range(0, batch.num_rows, BLOCK):
+            for key, i, j, *row in zip(*(x.to_pylist() for x in batch.slice(lo, BLOCK).columns), strict=True):
+                if (key, i, j) != now:
+                    if rows:
+                        yield now, rows
+                    now, rows = (key, i, j), []
+                rows.append(tuple(row))
     if rows:
         yield now, rows
 
@@ -165,7 +166,7 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
                     sigs.append(s)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["row", "same", "keys", "sig"])
 
-    marks = written(texts.mapInArrow(signed, "row long, same binary, keys array<long>, sig binary"))
+    marks = written(texts.mapInArrow(tidy(signed), "row long, same binary, keys array<long>, sig binary"))
     total = marks.count()
     first = written(marks.groupBy("same").agg(F.min(F.struct("row", "keys", "sig")).alias("f"), F.count("*").alias("n")).select("same", "f.row", "f.keys", "f.sig", "n"))
     twins = spread_join(marks.select("same", "row"), first.where("n > 1").select("same", F.col("row").alias("b"), "n"), "same", "n", total)
@@ -181,7 +182,7 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(h, pa.binary())], names=["row", "h"])
 
     def sets_of(rows: DataFrame) -> DataFrame:
-        return written(texts.join(sized(written(rows.distinct())), "row", "left_semi").mapInArrow(sets, "row long, h binary"))
+        return written(texts.join(sized(written(rows.distinct())), "row", "left_semi").mapInArrow(tidy(sets), "row long, h binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.distinct())
@@ -198,7 +199,7 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
         of = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("row")))
         full = salted_join(pairs, of.select(F.col("row").alias("b"), F.col("h").alias("y")), "b", pairs)
         full = salted_join(full, of.select(F.col("row").alias("a"), F.col("h").alias("x")), "a", pairs)
-        return written(full.select("a", "b", "x", "y").mapInArrow(close, "a long, b long"))
+        return written(full.select("a", "b", "x", "y").mapInArrow(tidy(close), "a long, b long"))
 
     stars = keyed.where("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b"))
     if candidates is not None:
@@ -219,10 +220,10 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text", shingl
         dealt = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row")
         sig = first.select("row", "sig")
         order = ["key", "i", "j", "side", "band", "row", "c", "sig"]
-        hopeful = dealt(parts.join(sig, "row").select(*order)).mapInArrow(_hopeful, "key long, i int, j int, side int, band int, row long, c long")
+        hopeful = dealt(parts.join(sig, "row").select(*order)).mapInArrow(tidy(_hopeful), "key long, i int, j int, side int, band int, row long, c long")
         hopeful = written(hopeful)
         full = hopeful.join(sig.join(sets_of(hopeful.select("row")), "row"), "row").select(*order, "h")
-        return written(edges.unionByName(dealt(full).mapInArrow(_forest(similarity), "a long, b long")))
+        return written(edges.unionByName(dealt(full).mapInArrow(tidy(_forest(similarity)), "a long, b long")))
 
     edges = apart(edges, F.col("band") < FIRST_BANDS)
     edges = apart(edges, F.col("band") >= FIRST_BANDS)

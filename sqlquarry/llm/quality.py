@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, removed, table, written
+from .common import map_slices, removed, table, tidy, written
 
 #: Bound on the labelled rows that the lexicon and the scorer are fitted on, each with its whole text.
 SAMPLE_ROWS = 8000
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(list(every)), pa.array(list(every.values()), pa.int64()), pa.array([toxic[w] for w in every], pa.int64())], names=["token", "n", "toxic"])
 
     total = sample.where("x = 1").count()
-    mined = sample.mapInArrow(toxic_tokens, "token string, n long, toxic long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    mined = sample.mapInArrow(tidy(toxic_tokens), "token string, n long, toxic long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     rows = mined.where((F.col("toxic") >= F.lit(max(5, LEXICON_SHARE * total))) & (F.col("toxic") >= LEXICON_PRECISION * F.col("n"))).select("token").collect()
     lexicon = frozenset(r[0] for r in rows)  # at most 1 / LEXICON_SHARE times the words of a sample row
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spread_join, table, written
+from .common import slices, spread_join, table, tidy, written
 from .graph import components
 
 BITS, SEGMENTS, DISTANCE, SHINGLE = 64, 5, 4, 4
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE
                 fp = np.array([fingerprint(t, shingle) for t in part.column(text_col).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(fp)], names=[*kept, "fp"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def parts_for(fingerprints: int) -> int:
@@ -189,7 +189,7 @@ def near_edges(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS[0])
     parts = keyed.join(small, "key").withColumn("blk", block).select("key", "fp", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
     split = parts.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "fp")
     rows = cold.unionByName(split).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_linked(distance), "a long, b long")
+    return rows.mapInArrow(tidy(_linked(distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

@@ -247,6 +247,37 @@ def test_media(spark):
     assert classes(spark.createDataFrame([(1, bytearray(large)), (2, bytearray(pgm(part * 0.3 + 90)))], "media_id long, image binary"))[2]["class_id"] == 1
 
 
+def test_media_decoding():
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 256, (9, 7, 3)).astype(np.uint8)
+
+    def png(filters):
+        raw, before = b"", np.zeros((7, 3), np.int64)
+        for y in range(9):
+            line, left = a[y].astype(np.int64), np.vstack((np.zeros((1, 3), np.int64), a[y][:-1].astype(np.int64)))
+            corner = np.vstack((np.zeros((1, 3), np.int64), before[:-1]))
+            p = left + before - corner
+            d = np.stack((abs(p - left), abs(p - before), abs(p - corner)))
+            paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], before, corner))
+            guess = (0 * line, left, before, (left + before) // 2, paeth)[filters[y % len(filters)]]
+            raw += bytes([filters[y % len(filters)]]) + ((line - guess) % 256).astype(np.uint8).tobytes()
+            before = line
+        part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"crc!"
+        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+    for filters in ((0,), (1,), (2,), (3,), (4,), (0, 1, 2, 3, 4)):
+        assert np.allclose(media.decode_image(png(filters)), a.mean(axis=2)), filters
+    whole = png((0,))
+    ppm = b"P6 # note\n7 9 255\n" + a.tobytes()
+    assert np.allclose(media.decode_image(ppm), a.mean(axis=2))
+    huge = whole[:16] + struct.pack(">II", 1 << 30, 1 << 30) + whole[24:]
+    for bad in (whole[:40], whole[:-40], ppm[:-1], b"P5 9 9", b"P5 99999999 99999999 255\n", huge, b"\xff\xd8\xff\xe0JFIF", None, b""):
+        assert media.decode_image(bad) is None
+
+
 def test_media_recall_against_all_pairs(spark):
     """op5's own table (sf0.01): links found among those that all pairs have."""
     import os
