@@ -235,7 +235,7 @@ def test_media(spark):
     assert all((got[i]["class_id"], got[i]["class_size"]) == (i, 1) for i, _ in other)
     assert [(got[i]["readable"], got[i]["class_id"], got[i]["class_size"]) for i in (31, 32, 33, 34, 35)] == [(False, 31, 1), (False, 32, 2), (False, 33, 1), (False, 32, 2), (True, 35, 1)]
     old = media.BLOCK, media.COMMON, media.FEW
-    for media.BLOCK, media.COMMON, media.FEW in ((3, 2, 32), (4096, 16, 2), (3, 2, 1)):  # buckets cut into blocks, and large ones
+    for media.BLOCK, media.COMMON, media.FEW in ((3, 2, 4), (4096, 16, 1)):  # buckets cut into blocks, and large ones
         try:
             assert {i: (r["class_id"], r["class_size"]) for i, r in classes(df).items()} == {i: (r["class_id"], r["class_size"]) for i, r in got.items()}
         finally:
