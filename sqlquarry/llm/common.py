@@ -127,6 +127,7 @@ def map_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str, limi
         for batch in batches:
             for part in slices(batch, column, limit):
                 yield fn(part)
+            give_back()
 
     return tidy(run)
 
