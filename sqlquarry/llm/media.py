@@ -9,7 +9,6 @@ bits, of which enough agree on one turn, scale and shift.
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,9 +27,8 @@ BITS, RADIUS, DISTANCE = 128, 15, 15
 SCALES = tuple(0.8**k for k in range(5))
 #: Corners that agree on one turn, scale and shift.
 MIN_INLIERS = 6
-#: Bits of a key: SPARE_BITS more than the logarithm of the number of descriptors, so that buckets don't grow with it. Wider
-#: keys meet less often, so there is a table more for every three bits over those of four million descriptors.
-SPARE_BITS, MAX_WIDTH, TABLES, USUAL_WIDTH = 14, 56, 2, 36
+#: Hamming tables, and bits of a key. The same for every input, so that a pair's meetings depend on its two pictures alone.
+TABLES, KEY_BITS = 4, 40
 #: Times that a pair of pictures meets in the tables at least to be judged; edited copies of op5's pictures met eight times or more.
 MIN_MEETINGS = 2
 #: Rows of one key that one task compares; a larger bucket is compared block by block in several tasks.
@@ -154,28 +152,13 @@ def features(image: np.ndarray | None) -> Features:
     return Features(np.concatenate(where), np.concatenate(bits))
 
 
-_PICK = [np.random.default_rng(400 + t).permutation(64) for t in range(TABLES + (MAX_WIDTH - USUAL_WIDTH) // 3)]
+#: Bits of a word that make up the key of each table; the two highest hold the table's number.
+_MASKS = [np.bitwise_or.reduce(np.uint64(1) << np.random.default_rng(400 + t).permutation(62)[:KEY_BITS].astype(np.uint64)) for t in range(TABLES)]
 
 
-def width_for(descriptors: int) -> int:
-    """Bits of a key for so many descriptors."""
-    return min(MAX_WIDTH, max(8, math.ceil(math.log2(max(2, descriptors))) + SPARE_BITS))
-
-
-def tables_for(width: int) -> int:
-    return TABLES + max(0, width - USUAL_WIDTH) // 3
-
-
-def table_keys(bits: np.ndarray, width: int) -> np.ndarray:
-    """Keys of descriptors (a row each): one for each table, with the table's number on top."""
-    tables = tables_for(width)
-    out = np.zeros((len(bits), tables), np.int64)
-    for t in range(tables):
-        word = bits[:, t % 2]
-        for k, at in enumerate(_PICK[t][:width].tolist()):
-            out[:, t] |= ((word >> np.uint64(at)) & np.uint64(1)).astype(np.int64) << k
-        out[:, t] |= t << MAX_WIDTH
-    return out
+def table_keys(bits: np.ndarray) -> np.ndarray:
+    """Keys of descriptors (a row each): one for each table."""
+    return np.stack([(bits[:, t % 2] & mask) | np.uint64(t << 62) for t, mask in enumerate(_MASKS)], axis=1).view(np.int64)
 
 
 def consensus(a: np.ndarray, b: np.ndarray, enough: int | None = None) -> int:
@@ -274,7 +257,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.Recor
         yield from found(rest)
 
 
-def meetings(pictures: DataFrame, width: int, large: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
+def meetings(pictures: DataFrame, large: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of rows of pictures (row, bits) that meet in the Hamming tables, with how often (n), and rows with the key
     of each large bucket (n 0). With large (key) and classes (row, c): pairs between classes in these buckets."""
 
@@ -282,7 +265,7 @@ def meetings(pictures: DataFrame, width: int, large: DataFrame | None = None, cl
         held, size = [], 0
 
         def counted() -> Iterator[pa.RecordBatch]:
-            key, n = np.unique(table_keys(np.frombuffer(b"".join(held), "<u8").reshape(-1, 2), width), return_counts=True)
+            key, n = np.unique(table_keys(np.frombuffer(b"".join(held), "<u8").reshape(-1, 2)), return_counts=True)
             many = n >= COMMON
             yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(n[many], pa.int64())], names=["key", "n"])
 
@@ -302,7 +285,7 @@ def meetings(pictures: DataFrame, width: int, large: DataFrame | None = None, cl
                 bits = batch.column("bits").slice(lo, 500).to_pylist()
                 row = np.repeat(batch.column("row").slice(lo, 500).to_numpy(), [len(b) // 16 for b in bits])
                 own = np.frombuffer(b"".join(bits), "<u8").reshape(-1, 2)
-                key = table_keys(own, width)
+                key = table_keys(own)
                 words = np.stack([own[:, 1 - t % 2] for t in range(key.shape[1])], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(row, key.shape[1])), pa.array(words.ravel().view(np.int64))], names=["key", "row", "word"])
 
@@ -361,14 +344,13 @@ def copies(images: DataFrame, id_col: str = "media_id", image_col: str = "image"
         return written(both.select("a", "b", "aw", "ab", "bw", "bb").mapInArrow(map_slices(judged, "ab"), "a long, b long"))
 
     often = lambda met: met.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_MEETINGS).select("a", "b")
-    width = width_for(pictures.agg(F.sum(F.length("bits"))).first()[0] or 0)
-    met = meetings(pictures, width)
+    met = meetings(pictures)
     pairs = written(often(met))
     edges = links(pairs)
     large = written(met.where("n = 0").select("key").distinct())
     if large.count():
         classes = written(components(edges).select(F.col("node").alias("row"), F.col("component").alias("c")))
-        more = often(met.unionByName(meetings(pictures, width, large, classes))).join(pairs, ["a", "b"], "left_anti")
+        more = often(met.unionByName(meetings(pictures, large, classes))).join(pairs, ["a", "b"], "left_anti")
         edges = written(edges.unionByName(links(written(more))))
     grouped = groups.join(components(edges), "node", "left")
     grouped = written(grouped.select("same", "low", "n", F.coalesce("component", "node").alias("component")))

@@ -248,6 +248,21 @@ def test_media(spark):
     assert classes(spark.createDataFrame([(1, bytearray(large)), (2, bytearray(pgm(part * 0.3 + 90)))], "media_id long, image binary"))[2]["class_id"] == 1
 
 
+def weak_copies(spark, more=()):
+    """Small pictures and noisy copies of them, which share few corners."""
+    rng = np.random.default_rng(8)
+    small = mosaics(40, 7, 4)
+    rows = [(2 * i, pgm(a)) for i, a in enumerate(small)] + [(2 * i + 1, pgm(a + rng.normal(0, 30, a.shape))) for i, a in enumerate(small)]
+    rows += [(1000 + i, pgm(a)) for i, a in enumerate(more)]
+    return {i: (r["class_id"], r["class_size"]) for i, r in classes(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "media_id long, image binary")).items() if i < 1000}
+
+
+def test_media_classes_do_not_depend_on_other_pictures(spark):
+    alone = weak_copies(spark)
+    assert sum(n > 1 for _, n in alone.values()) >= 20
+    assert weak_copies(spark, mosaics(60, 99)) == alone
+
+
 def test_media_decoding():
     import struct
     import zlib
