@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_slices, salted_join, sized, spread_join, table, tidy, written
+from .common import map_slices, salted_join, sized, slices, spread_join, table, tidy, written
 from .graph import components
 
 BITS, RADIUS, DISTANCE = 128, 15, 15
@@ -198,12 +198,23 @@ def _unpacked(where: bytes, bits: bytes) -> Features:
     return Features(np.frombuffer(where, "<f4").reshape(-1, 4).astype(float), np.frombuffer(bits, "<u8").reshape(-1, 2))
 
 
-def _meetings(apart: bool):
+def _counted(kind: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct rows of columns, and how often each is there."""
+    order = np.lexsort(kind)
+    kind = [x[order] for x in kind]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in kind], axis=0)
+    first = np.nonzero(new)[0]
+    return *(x[first] for x in kind), np.diff(np.append(first, len(order)))
+
+
+def _meetings(apart: bool, hot: bool):
     """For mapInArrow over rows (key, i, j, side, row, c, word) sorted by key, blocks and row: pairs of pictures that meet in
     keys with words within DISTANCE bits, and how often; of two blocks only those across.
 
-    First, a bucket of over FEW rows gives only the pairs of each row with the first, and its key in a row of its own. Then
-    (apart) such keys come again with the class c of each picture, and give all pairs between classes.
+    A bucket is large if it has over FEW rows, or is cut into blocks (hot). First, small ones give all their pairs (n), and
+    large ones those of each row with the first: how often they meet (m), and 1 in hub, also if never. Then (apart) the large
+    ones come again with the class c of each picture, and give all pairs between classes (n).
     """
 
     def found(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -212,31 +223,35 @@ def _meetings(apart: bool):
         new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         first = np.nonzero(new)[0]
         size = np.diff(np.append(first, len(row)))
-        large = np.repeat(size > FEW, size) & (not apart)
+        large = np.repeat((size > FEW) | hot, size)
         first, word, same = np.repeat(first, size), word.view(np.uint64), i == j
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, right, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
 
-        def meet(x: np.ndarray, y: np.ndarray) -> None:
-            ok = (np.bitwise_count(word[x] ^ word[y]) <= DISTANCE) & (row[x] != row[y]) & ((side[x] != side[y]) | same[x])
+        def meet(x: np.ndarray, y: np.ndarray, every: bool = False) -> None:
+            ok = (np.bitwise_count(word[x] ^ word[y]) <= DISTANCE) & ((side[x] != side[y]) | same[x])
+            some = (row[x] != row[y]) & (ok | every)
             if apart:
-                ok &= c[x] != c[y]
-            left.append(np.minimum(row[x[ok]], row[y[ok]]))
-            right.append(np.maximum(row[x[ok]], row[y[ok]]))
+                some &= c[x] != c[y]
+            left.append(np.minimum(row[x[some]], row[y[some]]))
+            right.append(np.maximum(row[x[some]], row[y[some]]))
+            met.append(ok[some])
 
-        here = np.nonzero(large & ~new)[0]
-        meet(here, first[here])
-        alive, shift = np.nonzero(~large)[0], 1
+        alive, shift = np.nonzero(large == apart)[0], 1
         while len(alive):
             alive = alive[alive + shift < len(row)]
             alive = alive[first[alive] == first[alive + shift]]
             meet(alive, alive + shift)
             shift += 1
-        pairs, n = np.unique(np.stack((np.concatenate(left), np.concatenate(right))), axis=1, return_counts=True)
-        keys = np.unique(key[large])
-        gap = np.zeros(len(keys), np.int64)
-        if len(n) or len(keys):
-            cols = np.append(pairs[0], gap), np.append(pairs[1], gap), np.append(n, gap), np.append(np.zeros(len(n), np.int64), keys)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["a", "b", "n", "key"])
+        n_all = sum(map(len, left))
+        if not apart:
+            here = np.nonzero(large & ~new)[0]
+            meet(here, first[here], every=True)
+        a, b, met = np.concatenate(left), np.concatenate(right), np.concatenate(met)
+        hub = np.arange(len(a)) >= n_all
+        a, b, met, hub, n = _counted([a, b, met, hub])
+        if len(n):
+            cols = a, b, n * ~hub, n * (hub & met), hub
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=["a", "b", "n", "m", "hub"])
 
     return lambda batches: _whole_groups(batches, found)
 
@@ -257,9 +272,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.Recor
         yield from found(rest)
 
 
-def meetings(pictures: DataFrame, large: DataFrame | None = None, classes: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of rows of pictures (row, bits) that meet in the Hamming tables, with how often (n), and rows with the key
-    of each large bucket (n 0). With large (key) and classes (row, c): pairs between classes in these buckets."""
+def hot_keys(pictures: DataFrame) -> DataFrame:
+    """Keys of over BLOCK rows of pictures (bits), and the number of blocks (nb) that each is cut into."""
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -279,31 +293,40 @@ def meetings(pictures: DataFrame, large: DataFrame | None = None, classes: DataF
         if held:
             yield from counted()
 
+    counts = pictures.select("bits").mapInArrow(tidy(common), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return written(counts.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
+
+
+def meetings(pictures: DataFrame, hot: DataFrame, mixed: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of rows of pictures (row, bits) that meet in the Hamming tables, with how often in small buckets (n) and
+    with the first of a large one (m), and whether one is the first of a large bucket with the other in it (hub). With mixed
+    (key): of pictures (row, bits, c) those between classes in large buckets of these keys (n)."""
+    apart = mixed is not None
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                bits = batch.column("bits").slice(lo, 500).to_pylist()
-                row = np.repeat(batch.column("row").slice(lo, 500).to_numpy(), [len(b) // 16 for b in bits])
+            for part in slices(batch, "bits", 1 << 20):
+                bits = part.column("bits").to_pylist()
+                per = [len(b) // 16 * TABLES for b in bits]
                 own = np.frombuffer(b"".join(bits), "<u8").reshape(-1, 2)
-                key = table_keys(own)
-                words = np.stack([own[:, 1 - t % 2] for t in range(key.shape[1])], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(row, key.shape[1])), pa.array(words.ravel().view(np.int64))], names=["key", "row", "word"])
-
-    hot = written(pictures.select("bits").mapInArrow(tidy(common), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")))
-    rows = pictures.select("row", "bits").mapInArrow(tidy(keyed), "key long, row long, word long")
-    if large is not None:
-        rows = rows.join(sized(large), "key", "left_semi").join(sized(classes), "row", "left").withColumn("c", F.coalesce("c", "row"))
-    c = F.lit(0).cast("long").alias("c") if large is None else "c"
+                words = np.stack([own[:, 1 - t % 2] for t in range(TABLES)], axis=1)
+                of = [np.repeat(part.column(k).to_numpy(), per) for k in ("row", "c")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (table_keys(own).ravel(), *of, words.ravel().view(np.int64))], names=["key", "row", "c", "word"])
+
+    of = pictures.select("row", "c" if apart else F.lit(0).cast("long").alias("c"), "bits")
+    rows = of.mapInArrow(tidy(keyed), "key long, row long, c long, word long")
+    if apart:
+        rows = rows.join(sized(mixed), "key", "left_semi")
     n_hot = hot.count()
     cold = rows.join(sized(hot), "key", "left_anti") if n_hot else rows
-    dealt = cold.repartition("key").sortWithinPartitions("key", "row").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "row", c, "word")
-    out = "a long, b long, n long, key long"
-    pairs = dealt.mapInArrow(tidy(_meetings(large is not None)), out)
+    dealt = cold.repartition("key").sortWithinPartitions("key", "row").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "row", "c", "word")
+    out = "a long, b long, n long, m long, hub long"
+    pairs = dealt.mapInArrow(tidy(_meetings(apart, False)), out)
     if n_hot:
         split = rows.join(sized(hot), "key").withColumn("blk", F.pmod(F.xxhash64("row", "word"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        split = split.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "row", c, "word")
-        pairs = pairs.unionByName(split.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row").mapInArrow(tidy(_meetings(large is not None)), out))
-    return written(pairs.groupBy("a", "b", "key").agg(F.sum("n").alias("n")))
+        split = split.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "row", "c", "word")
+        pairs = pairs.unionByName(split.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "row").mapInArrow(tidy(_meetings(apart, True)), out))
+    return written(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max("hub").alias("hub")))
 
 
 def copies(images: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
@@ -339,19 +362,30 @@ def copies(images: DataFrame, id_col: str = "media_id", image_col: str = "image"
         ok = [copied(_unpacked(aw, ab), _unpacked(bw, bb)) for aw, ab, bw, bb in zip(*(batch.column(c).to_pylist() for c in ("aw", "ab", "bw", "bb")), strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def shared(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [np.intersect1d(*(table_keys(np.frombuffer(x, "<u8").reshape(-1, 2)) for x in pair)) for pair in zip(batch.column("ab").to_pylist(), batch.column("bb").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], names=["key"])
+
+    def sides(pairs: DataFrame) -> DataFrame:
         both = salted_join(salted_join(pairs, side("a"), "a", pairs), side("b"), "b", pairs)
-        return written(both.select("a", "b", "aw", "ab", "bw", "bb").mapInArrow(map_slices(judged, "ab"), "a long, b long"))
-
-    often = lambda met: met.where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_MEETINGS).select("a", "b")
-    met = meetings(pictures)
-    pairs = written(often(met))
-    edges = links(pairs)
-    large = written(met.where("n = 0").select("key").distinct())
-    if large.count():
-        classes = written(components(edges).select(F.col("node").alias("row"), F.col("component").alias("c")))
-        more = often(met.unionByName(meetings(pictures, large, classes))).join(pairs, ["a", "b"], "left_anti")
-        edges = written(edges.unionByName(links(written(more))))
+        return both.select("a", "b", "aw", "ab", "bw", "bb")
+
+    links = lambda pairs: written(sides(pairs).mapInArrow(map_slices(judged, "ab"), "a long, b long"))
+    hot = hot_keys(pictures)
+    met = meetings(pictures, hot)
+    edges = links(written(met.where(F.col("n") + F.col("m") >= MIN_MEETINGS).select("a", "b")))
+    hubs = met.where("hub > 0").select("a", "b")
+    if hubs.take(1):
+        # a large bucket of several classes has a row of another class than its first
+        named = written(pictures.select("row").join(sized(components(edges).select(F.col("node").alias("row"), F.col("component").alias("c"))), "row", "left").select("row", F.coalesce("c", "row").alias("c")))
+        of = lambda p: named.select(F.col("row").alias(p), F.col("c").alias(p + "c"))
+        across = salted_join(salted_join(hubs, of("a"), "a", hubs), of("b"), "b", hubs)
+        across = written(across.where("ac <> bc").select("a", "b"))
+        if across.take(1):
+            mixed = written(sides(across).mapInArrow(map_slices(shared, "ab"), "key long").distinct())
+            more = meetings(pictures.join(named, "row"), hot, mixed).select("a", "b", F.col("n").alias("k"))
+            more = more.join(met, ["a", "b"], "left").where(F.coalesce("n", F.lit(0)) + F.col("k") >= MIN_MEETINGS).where(F.coalesce(F.col("n") + F.col("m"), F.lit(0)) < MIN_MEETINGS)
+            edges = written(edges.unionByName(links(written(more.select("a", "b")))))
     grouped = groups.join(components(edges), "node", "left")
     grouped = written(grouped.select("same", "low", "n", F.coalesce("component", "node").alias("component")))
     classes = written(grouped.groupBy("component").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("k")))

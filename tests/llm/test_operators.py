@@ -263,6 +263,16 @@ def test_media_classes_do_not_depend_on_other_pictures(spark):
     assert weak_copies(spark, mosaics(60, 99)) == alone
 
 
+def test_media_classes_do_not_depend_on_bucket_limits(spark):
+    """A pair that meets once is not judged, be the bucket a large one or not."""
+    usual, old = weak_copies(spark), (media.BLOCK, media.COMMON, media.FEW)
+    for media.BLOCK, media.COMMON, media.FEW in ((4096, 16, 1), (1, 1, 4)):
+        try:
+            assert weak_copies(spark) == usual
+        finally:
+            media.BLOCK, media.COMMON, media.FEW = old
+
+
 def test_media_decoding():
     import struct
     import zlib
