@@ -24,8 +24,9 @@ from .token_counts import SPACE, model_bytes, read_pieces
 #: Weight of a piece is exp(ALPHA * score - BETA); larger ALPHA is nearer to the best-scored path.
 ALPHA, BETA, SEED = 3e-4, 2.0, 7
 #: Runs and lattice edges that a worker keeps; it starts anew when full.
-MEMO, MEMO_EDGES = 150_000, 2_000_000
-SLICE = 1 << 20
+MEMO, MEMO_EDGES = 75_000, 1_000_000
+#: Bytes of text that are encoded at a time: the tables of a slice's new runs are many times its size.
+SLICE = 1 << 18
 _RUNS = re.compile(" *[^ ]+| +")
 _M1, _M2, _GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _BASE, _WORD = 0x100000001B3 * 2 + 1, (1 << 64) - 1

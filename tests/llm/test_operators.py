@@ -418,6 +418,30 @@ def test_secrets_of_repeated_rows_and_clashing_columns(spark, tmp_path):
     assert text[0]["text"] == " ".join(["é [SECRET]"] * 700) + " end" and text[1]["text"] == "[SECRET] x"
 
 
+def test_sentencepiece_memory():
+    """Tables of a worker stay small beside its slices, which don't change what is drawn."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sqlquarry.llm.common import slices
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(400)) for _ in range(500)]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(keys)], names=["_text", "_key"])
+    lattice, got = sentencepiece_codec.lattice_of(token_counts.model_bytes()), []
+    lattice.clear()
+    tracemalloc.start()
+    for part in slices(batch, "_text", sentencepiece_codec.SLICE):
+        got += sentencepiece_codec.encode_batch(lattice, part.column("_key").to_numpy(), part.column("_text").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    whole = sentencepiece_codec.encode_batch(lattice, keys, texts)
+    assert all((a == b).all() for a, b in zip(got, whole, strict=True))
+
+
 def test_sentencepiece(spark):
     got = by_id(sentencepiece_codec.encode_documents(docs(spark, ODD)), "token_ids", "n_pieces", "lossless")
     assert all(r[2] and r[1] == len(r[0]) for r in got.values()) and got[0][1] == got[1][1] == 0
