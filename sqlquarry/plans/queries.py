@@ -327,10 +327,11 @@ def similarity_diff(spark, sf_dir):
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b USING (x) WHERE a.id < b.id GROUP BY 1, 2)
 SELECT a, b, shared::INT AS shared, round_even(shared / (na + nb - shared), 3) AS similarity FROM p WHERE shared / (na + nb - shared) >= 0.3""")
 def jaccard_pairs(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("facts"))
-    both = identity.pairs_by_facts(li, 0.3)
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("fact"))
+    li = li.where("id IS NOT NULL AND fact IS NOT NULL").repartition("fact")  # the one exchange that distinct rows and their counts need
+    both = identity.pairs_by_rows(li.distinct(), 0.3)
     sim = F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-    return both.where(sim >= 0.3).select("a", "b", "shared", F.bround(sim, 3).alias("similarity"))
+    return both.select("a", "b", "shared", F.bround(sim, 3).alias("similarity"))
 
 
 @_query(f"""SELECT concat('q', c_custkey, '.sql') AS path, replace(replace(replace(replace(text, '''' || {_K} || '''', '''****'''), '''' || {_K} || '1''', '''****'''), '''' || {_K} || '9''', '''****'''), '', '') AS masked_text FROM (SELECT c_custkey, {_DUCK_TEXT} AS text FROM customer)""")

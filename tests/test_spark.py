@@ -55,6 +55,39 @@ def test_prefix_filter_against_brute_force(spark):
         assert got == want
 
 
+def written_rows(spark, group):
+    """Rows that the jobs of a group wrote for shuffles."""
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+    return sum(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages)
+
+
+def test_pairs_that_are_not_similar_are_not_sent(spark):
+    import random
+
+    r = random.Random(5)
+    sets = [(i, r.sample(range(40), 4)) for i in range(2000)]
+    each = spark.createDataFrame([(i, f) for i, s in sets for f in s], "id long, fact long")
+    spark.sparkContext.setJobGroup("pairs", "pairs")
+    got = identity.pairs_by_facts(each.groupBy("id").agg(F.collect_set("fact").alias("facts")), 0.6)
+    rows_ = {(x["a"], x["b"], x["shared"]) for x in got.collect()}
+    spark.sparkContext.setJobGroup("others", "others")
+    assert rows_ == {(a, b, n) for a, x in sets for b, y in sets if a < b and (n := len({*x} & {*y})) / (8 - n) >= 0.6}
+    assert written_rows(spark, "pairs") < 4 * 8000
+
+
+@pytest.mark.parametrize("carried", [0, 3, 6])
+def test_pairs_of_large_sets(spark, monkeypatch, carried):
+    import random
+
+    r = random.Random(carried)
+    sets = {i: sorted({min(r.randrange(30), r.randrange(30)) for _ in range(r.randrange(1, 14))}) for i in range(100)}
+    monkeypatch.setattr(identity, "CARRIED", carried)
+    got = identity.pairs_by_facts(spark.createDataFrame(list(sets.items()), "id int, facts array<int>"), 0.4).collect()
+    want = [(a, b, n, x, y) for a, x in sets.items() for b, y in sets.items() if a < b and (n := len({*x} & {*y})) / len({*x} | {*y}) >= 0.4]
+    assert sorted((g["a"], g["b"], g["shared"], sorted(g["fa"]), sorted(g["fb"])) for g in got) == sorted(want)
+
+
 def test_sources(spark):
     assert rows(corpus.matching(paths(spark, "/d/a.SQL", "/d/b.txt", "/d/c.md", "/d/_q/x.sql"), skip_dirs=["/d/_q"])) == [("/d/a.SQL",), ("/d/b.txt",)]
     assert rows(corpus.deduped(paths(spark, "/d/q.sql", "/d/q.sql.bak", "/d/x.bak", "/d/x.sql", "/e/q.bak"), ("sql", "bak"))) == [("/d/q.sql",), ("/d/x.sql",), ("/e/q.bak",)]
