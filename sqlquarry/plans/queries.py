@@ -28,16 +28,21 @@ _SPARK_TEXT = TEXT.replace("¤", "\\'").replace("¶", "\\n")
 _DUCK_TEXT = TEXT.replace("¤", "''").replace("¶", "' || chr(10) || '")
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, text, encoding: one text for each customer. The same for any size of table; no shuffle."""
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('q', c_custkey, '.sql') AS path", f"{_SPARK_TEXT} AS text")
+def customers(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """c_custkey, c_mktsegment. Dealt out, as a Python stage that makes texts of them is to use every core: a file has few row
+    groups, often one for a million rows, and each is read by one task. Keys are less to send than their texts."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    return rows.repartition(spark.sparkContext.defaultParallelism) if dealt else rows
+
+
+def statements(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """path, text, encoding: one text for each customer. The same for any size of table; no shuffle unless dealt."""
+    rows = customers(spark, sf_dir, dealt).selectExpr("concat('q', c_custkey, '.sql') AS path", f"{_SPARK_TEXT} AS text")
     return sources.from_table(rows, "path", "text")
 
 
 def _scan(spark: SparkSession, sf_dir: str, options: ScanOptions = ALL) -> Scan:
-    # few, small rows: dealt out so that the Python stage uses every core
-    corpus = statements(spark, sf_dir)
-    return scan_table(corpus.repartition(spark.sparkContext.defaultParallelism), options)
+    return scan_table(statements(spark, sf_dir, dealt=True), options)
 
 
 QUERIES: dict = {}

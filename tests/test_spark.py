@@ -88,6 +88,18 @@ def test_pairs_of_large_sets(spark, monkeypatch, carried):
     assert sorted((g["a"], g["b"], g["shared"], sorted(g["fa"]), sorted(g["fb"])) for g in got) == sorted(want)
 
 
+@pytest.mark.parametrize("name", [
+    "join_forms",
+])
+def test_rows_are_dealt_out_before_python(spark, name):
+    """A file of one row group is read by one task: each Python stage needs rows from an exchange."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    cores = spark.sparkContext.defaultParallelism
+    assert 0 < plan.count("MapInArrow") == plan.count(f"Repartition {cores}, true")
+
+
 def test_sources(spark):
     assert rows(corpus.matching(paths(spark, "/d/a.SQL", "/d/b.txt", "/d/c.md", "/d/_q/x.sql"), skip_dirs=["/d/_q"])) == [("/d/a.SQL",), ("/d/b.txt",)]
     assert rows(corpus.deduped(paths(spark, "/d/q.sql", "/d/q.sql.bak", "/d/x.bak", "/d/x.sql", "/e/q.bak"), ("sql", "bak"))) == [("/d/q.sql",), ("/d/x.sql",), ("/e/q.bak",)]
