@@ -91,6 +91,7 @@ def test_pairs_of_large_sets(spark, monkeypatch, carried):
 @pytest.mark.parametrize("name", [
     "join_forms",
     "statement_shapes",
+    "scope_resolution",
 ])
 def test_rows_are_dealt_out_before_python(spark, name):
     """A file of one row group is read by one task: each Python stage needs rows from an exchange."""
