@@ -179,7 +179,7 @@ def tsv_cells(spark, sf_dir):
 def comment_texts(spark, sf_dir):
     from .queries import statements
 
-    found = token_ops.exploded(tokens(statements(spark, sf_dir))).where(F.col("type").isin("LINE_COMMENT", "SQL_COMMENT"))
+    found = token_ops.exploded(tokens(statements(spark, sf_dir, dealt=True))).where(F.col("type").isin("LINE_COMMENT", "SQL_COMMENT"))
     return found.select("path", F.regexp_replace("text", r"^(--|/\*)|\*/$", "").alias("inner_text"))
 
 

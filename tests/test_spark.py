@@ -94,6 +94,8 @@ def test_pairs_of_large_sets(spark, monkeypatch, carried):
     "scope_resolution",
     "nested_comment_rescan",
     "detect_insert_values",
+    "comment_texts",
+    "token_type_counts",
 ])
 def test_rows_are_dealt_out_before_python(spark, name):
     """A file of one row group is read by one task: each Python stage needs rows from an exchange."""
