@@ -402,6 +402,6 @@ def select_block_counts(spark, sf_dir):
 
 @_query("SELECT concat('q', c_custkey, '.sql') AS path, 'Y' AS in_comment FROM customer WHERE c_custkey % 8 = 6")
 def findings_in_comment_spans(spark, sf_dir):
-    corpus = statements(spark, sf_dir)
+    corpus = statements(spark, sf_dir, dealt=True)
     spans = _scan(spark, sf_dir, ScanOptions()).findings().select(F.col("file").alias("path"), "start_offset")
     return token_ops.in_comment(spans, tokens(corpus)).where("in_comment = 'Y'").select("path", "in_comment")
