@@ -100,7 +100,7 @@ def _variant(name: str, spark_text: str, rows: str) -> None:
     """A query of findings in one statement a customer."""
 
     def fn(spark, sf_dir):
-        df = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('q', c_custkey, '.sql') AS path", f"{spark_text} AS text")
+        df = customers(spark, sf_dir).selectExpr("concat('q', c_custkey, '.sql') AS path", f"{spark_text} AS text")
         return scan_table(sources.from_table(df, "path", "text"), ScanOptions()).findings().select("file", "column_name", "operator", "value")
 
     fn.__name__ = name
