@@ -122,13 +122,13 @@ def detect_long_in(spark, sf_dir):
 
 @_query("SELECT word, count(*)::BIGINT AS n FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN '홍길동' WHEN 1 THEN '김영희' ELSE '서울' END AS word FROM customer) WHERE word <> '서울' GROUP BY 1")
 def name_candidates(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('q', c_custkey) AS path", r"concat('SELECT \'', CASE c_custkey % 3 WHEN 0 THEN '홍길동' WHEN 1 THEN '김영희' ELSE '서울' END, '\' FROM T') AS text")
+    df = customers(spark, sf_dir).selectExpr("concat('q', c_custkey) AS path", r"concat('SELECT \'', CASE c_custkey % 3 WHEN 0 THEN '홍길동' WHEN 1 THEN '김영희' ELSE '서울' END, '\' FROM T') AS text")
     return scan_table(sources.from_table(df, "path", "text"), ScanOptions(stopwords=frozenset({"서울"}))).name_counts()
 
 
 @_query(f"SELECT concat('q', c_custkey) AS file, '-' AS column_name, '''홍길동''' AS value FROM customer")
 def known_name_findings(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('q', c_custkey) AS path", r"""'-- "홍길동"' AS text""")
+    df = customers(spark, sf_dir).selectExpr("concat('q', c_custkey) AS path", r"""'-- "홍길동"' AS text""")
     return scan_table(sources.from_table(df, "path", "text"), ScanOptions(known_names=frozenset({"홍길동"}))).findings().select("file", "column_name", "value")
 
 
@@ -197,7 +197,7 @@ def punct_run_islands(spark, sf_dir):
 @_query("""SELECT concat('q', c_custkey) AS path, 'lexer-error-ratio' AS category, repeat('#', (c_custkey % 10)::INT) AS item FROM customer
 WHERE c_custkey % 10 > 0.2 * (c_custkey % 10 + 11)""")
 def lexer_error_gate(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("concat('q', c_custkey) AS path", "concat(repeat('#', CAST(c_custkey % 10 AS int)), ' ', repeat('A;', 5)) AS text")
+    df = customers(spark, sf_dir).selectExpr("concat('q', c_custkey) AS path", "concat(repeat('#', CAST(c_custkey % 10 AS int)), ' ', repeat('A;', 5)) AS text")
     return scan_table(sources.from_table(df, "path", "text"), ScanOptions()).bad_files().select("path", "category", "item")
 
 

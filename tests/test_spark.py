@@ -101,6 +101,9 @@ def test_pairs_of_large_sets(spark, monkeypatch, carried):
     "findings_in_comment_spans",
     "blank_literal_filter",
     "detect_like",
+    "name_candidates",
+    "known_name_findings",
+    "lexer_error_gate",
 ])
 def test_rows_are_dealt_out_before_python(spark, name):
     """A file of one row group is read by one task: each Python stage needs rows from an exchange."""
