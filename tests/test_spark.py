@@ -105,6 +105,7 @@ def test_pairs_of_large_sets(spark, monkeypatch, carried):
     "known_name_findings",
     "lexer_error_gate",
     "detect_window_dq",
+    "detect_reversed",
 ])
 def test_rows_are_dealt_out_before_python(spark, name):
     """A file of one row group is read by one task: each Python stage needs rows from an exchange."""
